@@ -378,7 +378,8 @@ def near_duplicates(units: DataFrame, s: Settings) -> NearDuplicates:
     """
     units = units.select("field", "id", "side", "parts")
     members = materialize(members_of(units, s), "members")
-    links = materialize(group_links(candidate_links(units, s), members, s), "links")
+    candidates = materialize(candidate_links(units, s), "candidates")
+    links = materialize(group_links(candidates, members, s), "links")
     groups = materialize(connected_components(links, "a", "b"), "groups")
     sets = materialize(class_sets(units, members, groups, s), "sets")
     return NearDuplicates(members, materialize(exact_pairs(sets, s), "pairs"), groups)

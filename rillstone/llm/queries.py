@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.llm import overlaps
+from rillstone.llm import defects, mixing, overlaps, spans, tokens
 from rillstone.llm.sql import ORACLES as ORACLES
 from rillstone.sources.tables import table
 
@@ -25,4 +25,40 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.small_edits(table(spark, d, "miu_record"), table(spark, d, "eil_record")).classes()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p6_found, p6_groups)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, d, "rollout_sample"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("defect").count().withColumnRenamed("count", "samples")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+def p7_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.length_report(spark, table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).report().where("short").select("mix_id", "source")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).report()
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).draws
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_coverage(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_report, p6_found, p6_groups, p7_ids, p7_lengths, p8_found, p8_report, p8_mix, p9_found, p9_coverage)}
