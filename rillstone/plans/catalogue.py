@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from rillstone.plans import nested
+
+QUERIES: dict = {**nested.QUERIES}
+ORACLES: dict[str, str] = {**nested.ORACLES}
