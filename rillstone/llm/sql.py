@@ -2,4 +2,22 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_KEY = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+WITH pool AS (
+  SELECT id, max(m) AS m, max(f) AS f, max(s) AS s FROM (
+    SELECT id, {_KEY.format("mechanism")} AS m, {_KEY.format("family_domain")} AS f, {_KEY.format("subscenario")} AS s FROM miu_record
+    UNION ALL SELECT id, {_KEY.format("mechanism")}, {_KEY.format("family_domain")}, {_KEY.format("subscenario")} FROM eil_record) x
+  WHERE id IS NOT NULL GROUP BY id),
+cells AS (
+  SELECT plan_id, cell_id, share_pm, min_rows, draw_pm, {_KEY.format("mechanism")} AS m, {_KEY.format("family_domain")} AS f, {_KEY.format("subscenario")} AS s FROM category_target),
+held AS (
+  SELECT c.plan_id, c.cell_id, c.share_pm, c.min_rows, c.draw_pm, count(p.id) AS n
+  FROM cells c LEFT JOIN pool p ON (c.m IS NULL OR c.m = p.m) AND (c.f IS NULL OR c.f = p.f) AND (c.s IS NULL OR c.s = p.s)
+  GROUP BY ALL),
+size AS (SELECT count(*) AS total FROM pool)
+SELECT plan_id, cell_id FROM held, size
+WHERE n * 1000000 < CAST(share_pm AS BIGINT) * draw_pm * total OR n < min_rows""",
+}
