@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.functions.taxonomies import STOPWORDS
 
@@ -87,9 +88,9 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """Distinct n-token texts; empty where there are fewer tokens."""
+    """Distinct n-token texts; empty where there are fewer tokens, null for null."""
     some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(tokens) >= n, F.array_distinct(some)).when(tokens.isNotNull(), F.array().cast("array<string>"))
 
 
 def shares_ngram(a: Like, b: Like, n: int = 16) -> Column:
@@ -201,20 +202,20 @@ def labelled_lines(items: Column, fields: list[str], empty: str = "- none") -> C
     return F.when(F.size(items) > 0, F.array_join(F.transform(items, line), "\n")).otherwise(empty)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_words(c: pd.Series) -> pd.Series:
     """Casefolded Unicode words joined by blanks (no built-in folds case)."""
     return c.map(lambda x: None if x is None else " ".join(re.findall(r"\w+", x.casefold())))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def quote_in(quote: pd.Series, text: pd.Series) -> pd.Series:
     """Whether the quotation's words stand in the text one after the other, after NFKC and casefold; an empty one does not."""
     plain = lambda s: re.findall(r"\w+", unicodedata.normalize("NFKC", s or "").casefold())
     return pd.Series([bool(q := plain(a)) and f" {' '.join(q)} " in f" {' '.join(plain(b))} " for a, b in zip(quote, text)], dtype="object")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def zlib_ratio(c: pd.Series) -> pd.Series:
     """Bytes per compressed byte; infinite for empty text."""
     return c.map(lambda x: None if x is None else float("inf") if x == "" else len(x.encode()) / len(zlib.compress(x.encode(), 9)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillstone.plans import nested
+from rillstone.plans import corpus, nested
 
-QUERIES: dict = {**nested.QUERIES}
-ORACLES: dict[str, str] = {**nested.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **nested.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **nested.ORACLES}
