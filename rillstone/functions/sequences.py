@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rillstone.functions.text import let
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -59,7 +61,7 @@ def discounted_returns(reward: Column, kl_terms: Column, mask: Column, kl_coef:
     """Token returns: -kl_coef * kl everywhere, the reward on the last unmasked token, discounted back.
     A fully masked sequence gives null."""
     last = F.size(mask) - F.array_position(F.reverse(F.transform(mask, lambda m: (m != 0).cast("int"))), 1) + 1
-    token = F.transform(kl_terms, lambda k, i: -F.lit(kl_coef) * k + F.when(i + 1 == last, reward.cast("double")).otherwise(0.0))
+    token = let(last, lambda n: F.transform(kl_terms, lambda k, i: -F.lit(kl_coef) * k + F.when(i + 1 == n, reward.cast("double")).otherwise(0.0)))
     return F.when(F.exists(mask, lambda m: m != 0), reverse_scan(token, gamma))
 
 

@@ -84,7 +84,7 @@ def spearman(df: DataFrame, left: str, right: str, by: list[str] = ()) -> DataFr
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """1 - C(n - c, k) / C(n, k), as the running product over n - c + 1 .. n."""
     terms = F.transform(F.sequence(n - c + 1, n), lambda i: 1 - F.lit(float(k)) / i)
-    return F.when(n - c < k, F.lit(1.0)).otherwise(1 - F.aggregate(terms, F.lit(1.0), lambda a, x: a * x))
+    return F.when(n - c < k, F.lit(1.0)).when(c <= 0, F.lit(0.0)).otherwise(1 - F.aggregate(terms, F.lit(1.0), lambda a, x: a * x))
 
 
 def incidence(df: DataFrame, tag_lists: str, by: str) -> DataFrame:

@@ -21,6 +21,11 @@ def _c(c: Like) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, also where body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _all(c: Like, pattern: str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(pattern), F.lit(0))
 
@@ -89,8 +94,12 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct n-token texts; empty where there are fewer tokens, null for null."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(some)).when(tokens.isNotNull(), F.array().cast("array<string>"))
+
+    def made(t: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(some)).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return let(tokens, made)
 
 
 def shares_ngram(a: Like, b: Like, n: int = 16) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.taxonomies import SUPPORT_BOUNDS
-from rillstone.functions.text import strip_thinking
+from rillstone.functions.text import let, strip_thinking
 
 
 def parsed_decision(response: Column | str, options: int = 3, cards: Column | None = None) -> Column:
@@ -16,24 +16,28 @@ def parsed_decision(response: Column | str, options: int = 3, cards: Column | No
     each once; with cards, a citation beyond that number is a problem.
     """
     lines = F.filter(F.transform(F.split(strip_thinking(response), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    plain = F.transform(lines, lambda x: F.regexp_replace(x, r"^\*\*(.*)\*\*$", "$1"))
     last = chr(64 + options)
-    letter = F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")), rf"^Decision: ([A-{last}])$", 1), F.lit(""))
-    rest = F.slice(plain, 2, 1 << 30)
 
     def reason(x: Column) -> Column:
         cited = F.array_distinct(F.regexp_extract_all(x, F.lit(r"\[E(\d+)\]"), F.lit(1)))
         claim = F.trim(F.regexp_replace(F.regexp_replace(x, r"^Reason:\s*", ""), r"\s*\[E\d+\]", ""))
         return F.struct(claim.alias("claim"), F.transform(cited, lambda c: c.cast("int")).alias("citations"))
 
-    reasons = F.transform(rest, reason)
-    beyond = F.exists(reasons, lambda r: F.exists(r["citations"], lambda c: c > cards)) if cards is not None else F.lit(False)
-    problem = (
-        F.when(letter.isNull(), "no_decision_line").when(F.size(rest) < 1, "no_reason").when(F.size(rest) > 4, "too_many_reasons")
-        .when(F.exists(rest, lambda x: ~x.startswith("Reason: ")), "unexpected_line").when(F.exists(reasons, lambda r: F.size(r["citations"]) < 1), "uncited_reason")
-        .when(F.exists(reasons, lambda r: r["claim"] == ""), "empty_reason").when(beyond, "unknown_citation")
-    )
-    return F.struct(letter.alias("letter"), reasons.alias("reasons"), problem.alias("problem"))
+    def judged(plain: Column) -> Column:
+        letter = F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")), rf"^Decision: ([A-{last}])$", 1), F.lit(""))
+        rest = F.slice(plain, 2, 1 << 30)
+        return let(F.transform(rest, reason), lambda reasons: outcome(letter, rest, reasons))
+
+    def outcome(letter: Column, rest: Column, reasons: Column) -> Column:
+        beyond = F.exists(reasons, lambda r: F.exists(r["citations"], lambda c: c > cards)) if cards is not None else F.lit(False)
+        problem = (
+            F.when(letter.isNull(), "no_decision_line").when(F.size(rest) < 1, "no_reason").when(F.size(rest) > 4, "too_many_reasons")
+            .when(F.exists(rest, lambda x: ~x.startswith("Reason: ")), "unexpected_line").when(F.exists(reasons, lambda r: F.size(r["citations"]) < 1), "uncited_reason")
+            .when(F.exists(reasons, lambda r: r["claim"] == ""), "empty_reason").when(beyond, "unknown_citation")
+        )
+        return F.struct(letter.alias("letter"), reasons.alias("reasons"), problem.alias("problem"))
+
+    return let(F.transform(lines, lambda x: F.regexp_replace(x, r"^\*\*(.*)\*\*$", "$1")), judged)
 
 
 def exact_match(chosen: Column, reference: Column) -> Column:

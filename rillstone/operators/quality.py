@@ -52,11 +52,11 @@ def _pair_overlaps(left: Column, right: Column, least: float, ordered: bool = Fa
     """"a~b" for each pair of items whose terms overlap by at least `least`; terms are made once per item."""
     termed = lambda arr: F.transform(arr, lambda x, i: F.struct(i.alias("i"), x["id"].alias("id"), text.terms(x["content"]).alias("t")))
 
-    def row(a: Column) -> Column:
-        hit = F.filter(termed(right), lambda b: (text.jaccard(a["t"], b["t"]) >= least) & ((a["i"] < b["i"]) if ordered else F.lit(True)))
+    def row(a: Column, others: Column) -> Column:
+        hit = F.filter(others, lambda b: (text.jaccard(a["t"], b["t"]) >= least) & ((a["i"] < b["i"]) if ordered else F.lit(True)))
         return F.transform(hit, lambda b: F.concat_ws("~", a["id"], b["id"]))
 
-    return F.flatten(F.transform(termed(left), row))
+    return text.let(termed(right), lambda others: F.flatten(F.transform(termed(left), lambda a: row(a, others))))
 
 
 def eil_rules() -> list[Rule]:

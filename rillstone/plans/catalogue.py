@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillstone.plans import corpus, nested
+from rillstone.plans import corpus, nested, rollouts
 
-QUERIES: dict = {**corpus.QUERIES, **nested.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **nested.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **rollouts.QUERIES, **nested.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **rollouts.ORACLES, **nested.ORACLES}
