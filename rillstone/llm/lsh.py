@@ -220,7 +220,7 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
 
     With cross, a bucket counts only if both sides are in it.
     """
-    shards = 16 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
