@@ -98,7 +98,7 @@ def plan_blocks(spark: SparkSession, path: str, fence: str = "text", expected: i
     The target count is the number in "Create one <family> record ... one of N"; the heading is
     the nearest one above the block. expected: how many blocks there must be.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     block = rf"(?s)(?:^|\n)#+ ([^\n]*)\n(?:(?!\n#+ ).)*?(?:```|~~~){fence}\n(.*?)(?:```|~~~)"
     found = whole.select(F.arrays_zip(F.regexp_extract_all("value", F.lit(block), F.lit(1)).alias("heading"), F.regexp_extract_all("value", F.lit(block), F.lit(2)).alias("text")).alias("b"))
     rows = found.select(F.posexplode("b").alias("pos", "b")).select((F.col("pos") + 1).alias("index"), "b.heading", F.col("b.text").alias("text"))
