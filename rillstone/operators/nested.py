@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.session import spread
+
 
 @dataclass(frozen=True)
 class Repeated:
@@ -192,7 +194,7 @@ def to_triples(df: DataFrame, key: str, payload: str, tables: tuple[Repeated, ..
             if out:
                 yield _triple_batch(batch, keys, out, key)
 
-    return df.select(F.col(key), F.col(payload)).mapInArrow(run, f"{key} {kind}, {TRIPLE}")
+    return spread(df.select(F.col(key), F.col(payload))).mapInArrow(run, f"{key} {kind}, {TRIPLE}")
 
 
 def _triple_batch(batch: pa.RecordBatch, keys: list, out: list, key: str) -> pa.RecordBatch:
