@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -25,6 +26,18 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
     )
 
 
+def importable_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster the package must stand at the same place on every node or be shipped with the
+    session (spark.submit.pyFiles); a path that is missing there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
