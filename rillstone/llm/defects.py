@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.session import spread
+
 #: Precedence: the first of these that holds is a sample's defect.
 DEFECTS = ("empty", "truncated", "copy", "refusal", "language")
 
@@ -372,7 +374,7 @@ def broken_pairs(samples: DataFrame, fit_rows: int = 6000) -> DataFrame:
                     defect.append(rank[d])
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(defect, pa.int32())], ["index", "defect"])
 
-    found = samples.select(F.col("index").cast("int"), "prompt_text", "messages", "response", "status").where("index is not null").mapInArrow(run, "index int, defect int")
+    found = spread(samples.select(F.col("index").cast("int"), "prompt_text", "messages", "response", "status").where("index is not null")).mapInArrow(run, "index int, defect int")
     return found.groupBy("index").agg(F.min("defect").alias("d")).select("index", F.element_at(F.array(*map(F.lit, DEFECTS)), F.col("d") + 1).alias("defect"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.shingling import mix, set_ids, word_shingles
 from rillstone.operators.graph import connected_components
-from rillstone.session import materialize
+from rillstone.session import materialize, spread
 
 PROBES = 64
 FULL32 = np.uint32(0xFFFFFFFF)
@@ -376,7 +376,7 @@ def near_duplicates(units: DataFrame, s: Settings) -> NearDuplicates:
     a shingle, or with null parts, is like nothing. Repeated rows change nothing. An id with
     several texts has the links of each. Other columns are ignored. No units give empty tables.
     """
-    units = units.select("field", "id", "side", "parts")
+    units = spread(units.select("field", "id", "side", "parts"))
     members = materialize(members_of(units, s), "members")
     candidates = materialize(candidate_links(units, s), "candidates")
     links = materialize(group_links(candidates, members, s), "links")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.shingling import mix, powers
-from rillstone.session import materialize
+from rillstone.session import materialize, spread
 
 CHUNK = 1 << 20
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,7 +138,7 @@ def shared_windows(docs: DataFrame, s: SpanSettings) -> DataFrame:
     documents; `family` names those documents; lid 0 means the entry stands at doc, start alone.
     kind 1: (lid, doc, start): a place of a collapsed entry.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, spread(docs)
     shards = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = materialize(minimiser_counts(docs, s).where(F.col("n") > s.heavy / 4), "minimisers")
     # At most 64 * shards minimisers can hold more than 1/(64 * shards) of the entries that repeat this often.

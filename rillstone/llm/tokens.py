@@ -11,6 +11,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
+from rillstone.session import spread
+
 #: Fixed value: the published pattern that splits text before the merges of the byte-BPE rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -92,7 +94,7 @@ def token_ids(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
             for ids, texts in _batches(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([encode(enc, t) for t in texts], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
@@ -108,7 +110,7 @@ def token_counts(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sources.slice(at, len(ids)), pa.array(counts, pa.int64())], ["doc_id", "source", "n_tokens"])
                 at += len(ids)
 
-    return docs.select("doc_id", "text", "source").mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return spread(docs.select("doc_id", "text", "source")).mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
 def decoded(ids: DataFrame, ranks: bytes | None = None) -> DataFrame:
