@@ -51,8 +51,8 @@ class Settings:
     bands: int = 128
     rows: int = 5
     cross: bool = False
-    sketch: int = 128
-    slack: float = 0.18
+    sketch: int = 48
+    slack: float = 0.23
     seed: int = 20240611
 
 
