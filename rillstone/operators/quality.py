@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import stats, text
 from rillstone.functions.taxonomies import ATTACK_TAGS, AUTHORITY_TAGS, LEVERAGE_TAGS, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES
+from rillstone.session import materialize
 
 
 @dataclass(frozen=True)
@@ -192,6 +193,7 @@ def earlier_similar(df: DataFrame, key: str, order: str, request: str, threshold
     """
     t = df.select(F.col(key).alias("k"), F.col(order).alias("o"), text.ascii_tokens(request).alias("tok")).where(F.size("tok") >= n)
     s = t.select("k", "o", F.array_join(F.slice("tok", 1, n), " ").alias("opening"), F.array_sort(F.transform(text.shingles(F.col("tok"), n), lambda x: F.xxhash64(x))).alias("s"))
+    s = materialize(s, "shingles")
     cut = F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * threshold) + 1).cast("int")))
     prefix = s.select("k", "o", cut.alias("g"))
     a, b = prefix.alias("a"), prefix.alias("b")

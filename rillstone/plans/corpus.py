@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.functions import hashing, stats, text
-from rillstone.functions.taxonomies import ATTACK_TAGS, BOUNDARY_CUES, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES, STOPWORDS
+from rillstone.functions.taxonomies import ATTACK_TAGS, BOUNDARY_CUES, LEVERAGE_TAGS, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES, STOPWORDS
 from rillstone.operators import merging, planning, quality
 from rillstone.operators.selection import first_by_hash
 from rillstone.sources.tables import table
@@ -247,6 +247,12 @@ b AS (SELECT {by} sum(m * ln(m)) AS sy, count(*) AS ky FROM (SELECT {by} y, sum(
 SELECT {out} CAST(t AS BIGINT) AS records, CASE WHEN kx > 1 AND ky > 1 THEN round((ln(t) + (sxy - sx - sy) / t) / sqrt((ln(t) - sx / t) * (ln(t) - sy / t)), {places}) END AS nmi FROM j {join}"""
 _NEC = "list_transform(necessary_information, lambda x: " + _tags_sql("x.content", NECESSARY_TAGS) + ")"
 
+_TAGSET = "coalesce(nullif(array_to_string(list_sort(list_distinct(flatten({0}))), '|'), ''), 'other')"
+_NMI_FAMILY = """
+p AS (SELECT family_domain AS f, l AS x, r AS y, count(*) AS n FROM rows_ WHERE family_domain IS NOT NULL GROUP BY ALL), j AS (SELECT f, sum(n) AS t, sum(n * ln(n)) AS sxy FROM p GROUP BY 1),
+a AS (SELECT f, sum(m * ln(m)) AS sx, count(*) AS kx FROM (SELECT f, x, sum(n) AS m FROM p GROUP BY ALL) q GROUP BY 1), b AS (SELECT f, sum(m * ln(m)) AS sy, count(*) AS ky FROM (SELECT f, y, sum(n) AS m FROM p GROUP BY ALL) q GROUP BY 1)
+SELECT f AS family_domain, CAST(t AS BIGINT) AS records, CASE WHEN kx > 1 AND ky > 1 THEN round((ln(t) + (sxy - sx - sy) / t) / sqrt((ln(t) - sx / t) * (ln(t) - sy / t)), 4) END AS nmi FROM j JOIN a USING (f) JOIN b USING (f)"""
+
 ORACLES = {
     "corpus_quality_gate": f"""
 WITH r AS (SELECT coalesce(source, '(none)') AS source, {NORM.format("coalesce(text, '')")} AS n, {_cues_sql("text", RELEASE_BOUNDARY_CUES)} AS cue FROM documents),
@@ -330,4 +336,36 @@ SELECT id, family_domain FROM r WHERE k <= 5""",
 SELECT {_SLUG.format("family_domain")} AS family, count(*) AS records, count(DISTINCT lower(trim(split))) AS splits, coalesce(array_to_string(list_sort(list_distinct(list({_SLUG.format("subscenario")}))), '|'), '') AS scenarios FROM miu_record GROUP BY 1""",
     "option_positions": """
 SELECT lower(trim(split)) AS split, count(*) FILTER (WHERE baseline_decision.decision = 'opt_1') AS opt_1, count(*) FILTER (WHERE baseline_decision.decision = 'opt_2') AS opt_2, count(*) FILTER (WHERE baseline_decision.decision = 'opt_3') AS opt_3 FROM miu_record GROUP BY 1""",
+    "profile_nmi": f"""
+WITH rows_ AS (SELECT family_domain, {_TAGSET.format(_NEC)} AS l, {_TAGSET.format("list_transform(exploitable_slots, lambda x: " + _tags_sql("x.content", LEVERAGE_TAGS) + ")")} AS r FROM eil_record),
+""" + _NMI_FAMILY,
+    "overlap_summary": f"""
+WITH e AS (SELECT id, any_value(necessary_information) AS n, any_value(exploitable_slots) AS s FROM eil_record WHERE id IS NOT NULL GROUP BY id),
+p AS (SELECT {_terms("n[i].content")} AS a, {_terms("s[j].content")} AS b FROM e, unnest(range(1, len(n) + 1)) u(i), unnest(range(1, len(s) + 1)) w(j)),
+o AS (SELECT round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS o FROM p),
+r AS (SELECT o, row_number() OVER (ORDER BY o) AS i, count(*) OVER () AS n FROM o WHERE o IS NOT NULL)
+SELECT (SELECT count(*) FROM o) AS pairs, (SELECT round(avg(CASE WHEN o >= 0.58 THEN 1.0 WHEN o IS NOT NULL THEN 0.0 END), 6) FROM o) AS share_ge_058,
+  round(max(CASE WHEN i = round_even((n - 1) * 0.5, 0) + 1 THEN o END), 4) AS median, round(max(CASE WHEN i = round_even((n - 1) * 0.95, 0) + 1 THEN o END), 4) AS p95 FROM r""",
+    "anchor_copies": """
+WITH l AS (SELECT record_id, max(attempt) AS a FROM audit_sidecar GROUP BY 1),
+f AS (SELECT s.record_id, unnest(s.source_packet.facts) AS f FROM audit_sidecar s JOIN l ON s.record_id = l.record_id AND s.attempt IS NOT DISTINCT FROM l.a),
+g AS (SELECT DISTINCT record_id, f.fact_id AS fact_id, regexp_extract_all(lower(f.source_anchor), '[a-z0-9]+') AS w FROM f),
+m AS (SELECT DISTINCT id, regexp_extract_all(lower(user_natural_language), '[a-z0-9]+') AS v FROM miu_record)
+SELECT DISTINCT record_id, fact_id FROM g JOIN m ON g.record_id = m.id
+WHERE len(list_intersect(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')), list_transform(range(1, len(v) - 2), lambda i: array_to_string(v[i:i+3], ' ')))) > 0""",
+    "earlier_similar_requests": """
+WITH t AS (SELECT id, regexp_extract_all(lower(any_value(user_natural_language)), '[a-z0-9]+') AS w FROM miu_record WHERE id IS NOT NULL GROUP BY 1),
+k AS (SELECT id, array_to_string(w[1:5], ' ') AS opening, w FROM t WHERE len(w) >= 5),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM k), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.id, b.id AS earlier, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id > b.id GROUP BY ALL),
+e AS (SELECT c.id, earlier FROM c JOIN n x ON x.id = c.id JOIN n y ON y.id = earlier WHERE c.c / (x.n + y.n - c.c) >= 0.48
+  UNION ALL SELECT a.id, min(b.id) FROM k a JOIN k b ON a.opening = b.opening AND b.id < a.id GROUP BY 1)
+SELECT id, min(earlier) AS earlier FROM e GROUP BY 1""",
+    "sidecar_profile_mismatches": """
+WITH m AS (SELECT id, any_value(meta) AS m FROM miu_record WHERE id IS NOT NULL GROUP BY 1), s AS (SELECT record_id, max_by(generation_profile, attempt) AS p FROM audit_sidecar GROUP BY 1)
+SELECT record_id, unnest(list_filter([CASE WHEN m.num_clean <> p.record_plan.counts['num_clean'] THEN 'num_clean' END, CASE WHEN m.num_mani <> p.record_plan.counts['num_mani'] THEN 'num_mani' END], lambda x: x IS NOT NULL)) AS field FROM m JOIN s ON m.id = s.record_id""",
+    "prompt_projection": """
+WITH m AS (SELECT id, any_value(user_natural_language) AS u, any_value(decision_boundary) AS d, any_value(external_information) AS e FROM miu_record GROUP BY 1)
+SELECT 'MIU:' || id AS record_id, 2 AS n, CAST(length(concat_ws(chr(10) || chr(10), u, 'Options:' || chr(10) || array_to_string(list_transform(d.options, lambda o, i: chr(CAST(64 + i AS INT)) || '. ' || coalesce(o.label, '')), chr(10)),
+  'Information:' || chr(10) || array_to_string(list_transform(e, lambda x, i: '[E' || i || '] ' || coalesce(x.content, '')), chr(10)))) AS INT) AS chars FROM m""",
 }

@@ -423,7 +423,13 @@ SELECT instance_id, count(*) AS size, count(*) FILTER (WHERE coalesce(trim(messa
 SELECT nullif(regexp_extract(label, '^([A-Z]+):', 1), '') AS task, count(*) AS samples, count(known) AS matched FROM s LEFT JOIN k ON label = known GROUP BY 1""",
     "group_tasks": f"""WITH {_S}, t AS (SELECT group_index, min(nullif(regexp_extract(label, '^([A-Z]+):', 1), '')) AS lo, max(nullif(regexp_extract(label, '^([A-Z]+):', 1), '')) AS hi, count(*) FILTER (WHERE nullif(regexp_extract(label, '^([A-Z]+):', 1), '') IS NULL) AS none FROM s GROUP BY 1)
 SELECT CASE WHEN lo = hi AND none = 0 THEN lo END AS task, count(*) AS groups FROM t GROUP BY 1""",
-    "first_fit_pack": None,
+    "mismatch_metrics": f"""WITH {_T}, q AS (SELECT "index", sum(t * m) / greatest(sum(m), 1) AS lt, sum(r * m) / greatest(sum(m), 1) AS lr, sum(-d * m) / greatest(sum(m), 1) AS kl, sum((exp(d) - d - 1) * m) / greatest(sum(m), 1) AS k3, sum(exp(2 * d) * m) / greatest(sum(m), 1) - 1 AS ct, exp(least(2 * sum(d * m), 40)) - 1 AS cs FROM k GROUP BY 1)
+SELECT "index", round(exp(-lt), 5) AS train_ppl, round(exp(-lr), 5) AS rollout_ppl, round(lt - lr, 5) AS log_ppl_diff, round(abs(lt - lr), 5) AS log_ppl_abs_diff, round(exp(lr - lt), 5) AS ppl_ratio, round(kl, 5) AS kl, round(k3, 5) AS k3_kl, round(ct, 5) AS chi2_token, round(cs, 5) AS chi2_seq FROM q""",
+    "sequence_packs": f"""WITH {_S} SELECT "index" % 4 AS pack, count(*) AS sequences, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM s WHERE rollout_log_probs IS NOT NULL AND loss_mask IS NOT NULL AND tokens IS NOT NULL GROUP BY 1""",
+    "buffer_groups": """
+WITH o AS (SELECT instance_id, uid, min(struct_pack(at := coalesce(received_at, TIMESTAMP '9999-12-31'), reward := reward)) AS m FROM buffer_item WHERE instance_id IS NOT NULL AND uid IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT instance_id, m.reward AS reward, (row_number() OVER (PARTITION BY instance_id ORDER BY m.at, uid) - 1) // 4 AS turn FROM o), g AS (SELECT instance_id, turn, count(*) AS n, sum(coalesce(reward, 0)) AS s FROM r GROUP BY 1, 2)
+SELECT instance_id, count(*) AS groups, round(sum(s), 6) AS rewards FROM g WHERE n = 4 GROUP BY 1""",
     "shards": "WITH m AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT id FROM miu_record WHERE id IS NOT NULL) q) SELECT pos % 4 AS shard, count(*) AS n FROM m GROUP BY 1",
     "replicated_prompts": "WITH e AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS g FROM reasoning_eval) SELECT id, g AS group_index, g * 4 + c AS index FROM e, unnest(range(0, 4)) u(c)",
     "embedding_topk": """
@@ -443,4 +449,3 @@ p AS (SELECT a.group_index, len(list_intersect(a.x, b.x)) AS c, len(a.x) + len(b
 SELECT group_index, count(*) AS pairs, round(avg(CASE WHEN n - c > 0 THEN 1 - c / (n - c) ELSE 0 END), 6) AS mean_distance FROM p GROUP BY 1""",
     "running_reward": f'WITH {_S} SELECT "index", round(reward.reward_value - lag(reward.reward_value) OVER (PARTITION BY group_index ORDER BY "index"), 6) AS delta FROM s',
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
