@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def blocked_rank(df: DataFrame, keys: list[str], unique: list[str], seed: int, out: str, blocks: int = 4096) -> DataFrame:
     """Append the 0-based place of each row in its group of `keys`, in an order drawn by hash.
 
-    The order is by a seeded 64-bit hash of the columns `unique`, then by them. The hash's
-    leading bits cut each group into `blocks` blocks; the block counts, at most groups times
+    The order is by some bits of a seeded 64-bit hash of the columns `unique`, then by the whole
+    hash and the columns. Those bits cut each group into `blocks` blocks; the block counts, at most groups times
     blocks rows, are prefix-summed, and rows are numbered inside their block only. A group
     with a third of all rows thus spreads over thousands of windows. Null keys form a group
     of their own.

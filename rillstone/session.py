@@ -54,13 +54,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rillstone-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables this application has materialised; call it once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
     Later plans start from the files, so they survive the loss of any executor, and
     the planner sees the true size before it decides on a broadcast.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
