@@ -353,12 +353,12 @@ def broken_pairs(samples: DataFrame, fit_rows: int = 6000) -> DataFrame:
     """(index, defect) of each faulty sample, once.
 
     samples: index, prompt_text, messages, response, status; other columns are ignored. The ending
-    model is fitted on at most `fit_rows` completed responses, taken in the order of a hash; all
-    rows are judged. Redelivered rows count once; of differing rows of one index the first defect
+    model is fitted on at most `fit_rows` completed responses of at most 20000 characters, taken in
+    the order of a hash; all rows are judged whole. Redelivered rows count once; of differing rows of one index the first defect
     in the order empty, truncated, copy, refusal, language stands. Rows without an index are left
     out. An empty table gives no row.
     """
-    finished = samples.where("lower(trim(status)) = 'completed' and response is not null").select("response", F.xxhash64("index", "response").alias("h"))
+    finished = samples.where("lower(trim(status)) = 'completed' and length(response) between 1 and 20000").select("response", F.xxhash64("index", "response").alias("h"))
     model = EndingModel.fit([r.response for r in finished.orderBy("h").limit(fit_rows).collect()])
     rank = {d: i for i, d in enumerate(DEFECTS)}
 
