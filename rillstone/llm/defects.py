@@ -195,7 +195,7 @@ class Prompt:
     def __init__(self, text: str):
         self.words = plain_words(text)
         raw = " ".join(self.words).encode()
-        self.known: dict[tuple[str, ...], list[int]] | None = None
+        self.known: dict[int, set[tuple[str, ...]]] = {}
         self.compressor = None
         if len(raw) >= 8:
             book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -208,24 +208,15 @@ class Prompt:
         return len(self.compressor.compress(raw)) / len(raw) if self.compressor and raw else 1.0
 
     def covered(self, words: list[str], run: int) -> int:
-        """How many words stand in runs of at least `run` words of the prompt."""
-        if self.known is None:
-            self.known = {}
-            for i in range(len(self.words) - 2):
-                self.known.setdefault(tuple(self.words[i : i + 3]), []).append(i)
-        i = total = 0
-        while i + 3 <= len(words):
-            best = 0
-            for j in self.known.get(tuple(words[i : i + 3]), ()):
-                n = 3
-                while i + n < len(words) and j + n < len(self.words) and words[i + n] == self.words[j + n]:
-                    n += 1
-                best = max(best, n)
-            if best >= min(run, len(words)):
-                total += best
-                i += best
-            else:
-                i += 1
+        """How many words stand in stretches of at least `run` words that the prompt holds too."""
+        run = min(run, len(words))
+        if run not in self.known:
+            self.known[run] = set(zip(*(self.words[i:] for i in range(run))))
+        total = upto = 0
+        for i, gram in enumerate(zip(*(words[i:] for i in range(run)))):
+            if gram in self.known[run]:
+                total += i + run - max(i, upto)
+                upto = i + run
         return total
 
 

@@ -62,23 +62,30 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Documents in groups of bounded text; one very long text stands alone, whole."""
-    ids, texts, size = [], [], 0
-    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        if i is None or t is None or len(t) < length:
+def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Documents in groups of bounded text: (ids, texts, where each text begins in its document).
+
+    A very long text comes in segments that overlap by length - 1, so that each of its windows
+    is in exactly one.
+    """
+    ids, texts, begins, size = [], [], [], 0
+    for i, whole in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        if i is None or whole is None:
             continue
-        if ids and size + len(t) > CHUNK:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
+        for at in range(0, len(whole) - length + 1, CHUNK):
+            t = whole if len(whole) <= CHUNK else whole[at : at + CHUNK + length - 1]
+            if ids and size + len(t) > CHUNK:
+                yield ids, texts, begins
+                ids, texts, begins, size = [], [], [], 0
+            ids.append(i)
+            texts.append(t)
+            begins.append(at)
+            size += len(t)
     if ids:
-        yield ids, texts
+        yield ids, texts, begins
 
 
-def super_kmers(ids: list[int], texts: list[str], s: SpanSettings) -> dict[str, np.ndarray]:
+def super_kmers(ids: list[int], texts: list[str], begins: list[int], s: SpanSettings) -> dict[str, np.ndarray]:
     """The super-k-mers of some texts: minimiser, doc, start in the text, length, place in the joined codes."""
     c = np.concatenate([codes(t) for t in texts])
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -94,7 +101,7 @@ def super_kmers(ids: list[int], texts: list[str], s: SpanSettings) -> dict[str,
     group = np.cumsum(fresh & valid) - 1
     windows = np.bincount(group[valid], minlength=len(at))
     length = windows + s.length - 1
-    return {"codes": c, "sums": sums, "min": least[at], "doc": np.array(ids, np.int64)[doc[at]], "start": at - begin[doc[at]], "at": at, "len": length, "name": _hashes(sums, at, length)}
+    return {"codes": c, "sums": sums, "min": least[at], "doc": np.array(ids, np.int64)[doc[at]], "start": at - begin[doc[at]] + np.array(begins, np.int64)[doc[at]], "at": at, "len": length, "name": _hashes(sums, at, length)}
 
 
 def _collapse(k: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,18 +121,14 @@ def minimiser_counts(docs: DataFrame, s: SpanSettings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _pieces(batch, s.length):
-                k = super_kmers(ids, texts, s)
+            for ids, texts, begins in _pieces(batch, s.length):
+                k = super_kmers(ids, texts, begins, s)
                 m, n = np.unique(k["min"][_collapse(k)[0]].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
 
     return docs.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
 
 
-COLUMNS = ("mins", "lens", "lids", "docs", "starts", "ndocs", "text")
-BARE = ("h1", "h2", "lids", "docs", "offs", "starts", "ndocs")
-
-
 def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
     to = np.cumsum(size) - size
     return raw[np.repeat(begin - to, size) + np.arange(int(size.sum()))].tobytes()
@@ -148,8 +151,8 @@ def shared_windows(docs: DataFrame, s: SpanSettings) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _pieces(batch, s.length):
-                k = super_kmers(ids, texts, s)
+            for ids, texts, begins in _pieces(batch, s.length):
+                k = super_kmers(ids, texts, begins, s)
                 first, entry, places, documents = _collapse(k)
                 lid = np.where(places > 1, mix(k["name"][first] ^ mix(np.full(len(first), ids[0], np.int64).view(np.uint64)) ^ k["len"][first].astype(np.uint64)), np.uint64(0))
                 rows: dict[str, list] = {"kind": [], "shard": [], **{f"c{i}": [] for i in range(7)}}

@@ -52,3 +52,21 @@ def test_pairs_and_coverage_equal_brute_force(spark, heavy):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sharing_pairs(none).count() == 0 and shared_coverage(none).count() == 0
+
+
+def test_segments_of_very_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from rillstone.llm import spans
+
+    rng = random.Random(9)
+    new = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    shared = new(75)
+    docs = [(1, new(130) + shared + new(500)), (2, new(333) + shared), (3, new(700))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    monkeypatch.setattr(spans, "CHUNK", 64)
+    seen = [(i, t, b) for ids, texts, begins in spans._pieces(batch, N) for i, t, b in zip(ids, texts, begins)]
+    for i, whole in docs:
+        starts = sorted(b + k for j, t, b in seen if j == i for k in range(len(t) - N + 1))
+        assert starts == list(range(len(whole) - N + 1))
+        assert all(whole[b : b + len(t)] == t for j, t, b in seen if j == i)
