@@ -341,9 +341,6 @@ QUERIES = {
         adversary_pairs, running_reward,
     )
 }
-# A query's name must not look like one of problem N.
-QUERIES = {("samples_" + k if k.startswith("p") and k[1:2].isdigit() else k): v for k, v in QUERIES.items()}
-
 _S = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"index\") AS rn FROM rollout_sample) q WHERE rn = 1)"
 _VIS = "regexp_replace(regexp_replace(CASE WHEN regexp_matches(response, '(?i)</think>') THEN list_extract(regexp_split_to_array(response, '(?i)</think>\\s*'), -1) ELSE regexp_replace(response, '(?is)<think>.*?</think>\\s*', '', 'g') END, '(?:\\s*<\\|(?:im_end|endoftext)\\|>)+\\s*$', ''), '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g')".replace("{{", "{").replace("}}", "}")
 _PROBLEM = f"CASE WHEN response IS NULL THEN 'invalid_response_type' WHEN lower(status) = 'truncated' THEN 'truncated_rollout' WHEN regexp_matches(response, '(?i)<think>') AND NOT regexp_matches(response, '(?i)</think>') THEN 'incomplete_thinking' WHEN {_VIS} = '' THEN 'empty_visible_response' END"
