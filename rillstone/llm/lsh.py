@@ -220,7 +220,9 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
 
     With cross, a bucket counts only if both sides are in it.
     """
-    shards = 4 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several shards for each partition even out their sizes; very many would make the blobs tiny.
+    shards = min(16 * partitions, max(4 * partitions, 1024))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
