@@ -200,19 +200,37 @@ def members_of(units: DataFrame, s: Settings) -> DataFrame:
     return units.select("field", "id", F.col("side").cast("int"), "parts").mapInArrow(run, "field string, id string, side int, cls long, size int, sketch binary")
 
 
-def _stars(key: np.ndarray, cls: np.ndarray, side: np.ndarray, cross: bool) -> tuple[np.ndarray, ...]:
-    """Links of each key's classes to the least of them, and one entry per key: (a, b, key, least, sides)."""
-    order = np.lexsort((cls, key))
-    key, cls, side = key[order], cls[order], side[order]
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((begin, [len(key)])))
-    least, sides = cls[begin], np.bitwise_or.reduceat(side, begin)
-    centre, allowed = np.repeat(least, size), np.repeat(sides, size)
-    link = centre != cls
-    if cross:
-        link &= allowed == 3
-    pairs = np.unique(np.stack((centre[link], cls[link]), 1), axis=0)
-    return pairs[:, 0], pairs[:, 1], key[begin], least, sides
+def finer_bytes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each text and band four more signature bytes, those of the next bands, as one number."""
+    low = sig.reshape(len(sig), bands, rows)[:, :, 0] & np.uint32(0xFF)
+    out = np.zeros(low.shape, np.uint32)
+    for k in range(1, 5):
+        out = (out << np.uint32(8)) | np.roll(low, -k, axis=1)
+    return out
+
+
+def _stars(key: np.ndarray, fine: np.ndarray, cls: np.ndarray, side: np.ndarray, levels: tuple[int, ...], cross: bool) -> tuple[np.ndarray, ...]:
+    """Links of each bucket's classes to its least one, and one entry per key and fine number.
+
+    A level of n links within the bucket's parts that agree in n finer bytes too: as buckets fill
+    with unlike texts, whose star centre helps nobody, alike ones still meet in a finer part.
+    Returns (a, b, first place of each entry in the sorted input, order, least, sides).
+    """
+    order = np.lexsort((cls, fine, key))
+    key, fine, cls, side = key[order], fine[order], cls[order], side[order]
+    found = []
+    for level in levels:
+        part = fine >> np.uint32(32 - 8 * level) if level else np.zeros(len(fine), np.uint32)
+        begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        size = np.diff(np.concatenate((begin, [len(key)])))
+        least, sides = np.minimum.reduceat(cls, begin), np.bitwise_or.reduceat(side, begin)
+        centre = np.repeat(least, size)
+        link = centre != cls
+        if cross:
+            link &= np.repeat(sides, size) == 3
+        found.append(np.stack((centre[link], cls[link]), 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1], begin, order, least, sides
 
 
 def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
@@ -226,7 +244,7 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"shard": [], "keys": [], "a": [], "b": []}
+            out: dict[str, list] = {"shard": [], "keys": [], "fine": [], "a": [], "b": []}
             for lo, hi, shingles, offsets, salt, cls in _sets(batch, s):
                 has = np.flatnonzero(np.diff(offsets) > 0)
                 if not len(has):
@@ -238,10 +256,13 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
                 some, to = _pick(shingles, offsets, has[first])
                 sig = signature_of(s, some, to, s.bands * s.rows, s.seed)
                 key = band_keys(sig, s.bands, s.rows, salt[has[first]]).ravel()
-                a, b, key, cls1, side1 = _stars(key, np.repeat(names, s.bands), np.repeat(sides, s.bands), False)
+                fine = finer_bytes(sig, s.bands, s.rows).ravel()
+                a, b, begin, order, cls1, side1 = _stars(key, fine, np.repeat(names, s.bands), np.repeat(sides, s.bands), (4,), False)
+                key, fine = key[order][begin], fine[order][begin]
                 if len(a):
                     out["shard"].append(int(a[0] % shards))
                     out["keys"].append(b"")
+                    out["fine"].append(b"")
                     out["a"].append(a.tobytes())
                     out["b"].append(b.tobytes())
                 shard = (key % np.uint64(shards)).astype(np.int64)
@@ -253,35 +274,37 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
                     if len(at):
                         out["shard"].append(p)
                         out["keys"].append(short[at].tobytes())
+                        out["fine"].append(fine[at].tobytes())
                         out["a"].append(cls1[at].tobytes())
                         out["b"].append(side1[at].tobytes() if s.cross else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "a", "b"))], ["shard", "keys", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "fine", "a", "b"))], ["shard", "keys", "fine", "a", "b"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             key = np.frombuffer(b"".join(held["keys"]), np.uint32)
             cls = np.frombuffer(b"".join(held["a"]), np.int64)
             side = np.frombuffer(b"".join(held["b"]), np.uint8) if s.cross else np.zeros(len(key), np.uint8)
-            a, b, *_ = _stars(key, cls, side, s.cross)
+            fine = np.frombuffer(b"".join(held["fine"]), np.uint32)
+            a, b, *_ = _stars(key, fine, cls, side, (0, 1, 2, 3, 4), s.cross)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        held: dict[str, list[bytes]] = {"keys": [], "a": [], "b": []}
+        held: dict[str, list[bytes]] = {"keys": [], "fine": [], "a": [], "b": []}
         now = None
         for batch in batches:
-            for shard, keys, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "a", "b"))):
+            for shard, keys, fine, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "fine", "a", "b"))):
                 if shard != now and held["keys"]:
                     yield done()
-                    held = {"keys": [], "a": [], "b": []}
+                    held = {"keys": [], "fine": [], "a": [], "b": []}
                 now = shard
                 if keys:
-                    for c, x in (("keys", keys), ("a", a), ("b", b)):
+                    for c, x in (("keys", keys), ("fine", fine), ("a", a), ("b", b)):
                         held[c].append(x)
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], ["a", "b"])
         if held["keys"]:
             yield done()
 
-    packed = units.select("field", "id", F.col("side").cast("int"), "parts").mapInArrow(pack, "shard int, keys binary, a binary, b binary")
+    packed = units.select("field", "id", F.col("side").cast("int"), "parts").mapInArrow(pack, "shard int, keys binary, fine binary, a binary, b binary")
     return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(link, "a long, b long").distinct()
 
 
