@@ -158,3 +158,43 @@ def chat_loss_mask(messages: Column, length) -> Column:
     """1 for each token of an assistant message and 0 for the rest; length: column function giving a message's tokens."""
     per = F.transform(messages, lambda m: F.array_repeat((m["role"] == "assistant").cast("int"), length(m).cast("int")))
     return F.flatten(per)
+
+
+def distillation_advantages(student: Column, teacher: Column) -> Column:
+    """Teacher less student log-probability per response token; the teacher's series may open with the prompt's tokens."""
+    return F.zip_with(tail(teacher, F.size(student)), student, lambda t, s: t.cast("double") - s.cast("double"))
+
+
+def advantages(
+    estimator: str, reward: Column, logp: Column | None = None, ref: Column | None = None, mask: Column | None = None, values: Column | None = None, teacher: Column | None = None,
+    kl_coef: float = 0.0, kl_kind: str = "k1", gamma: float = 1.0, lam: float = 1.0,
+) -> Column:
+    """(advantages, returns) per token by the named estimator: grpo, gspo, ppo, reinforce_plus_plus,
+    reinforce_plus_plus_baseline or on_policy_distillation.
+
+    The KL against ref counts 0 where kl_coef is 0 or there are no log-probabilities. Whitening over
+    all sequences is a second step.
+    """
+    needed = {"grpo": [], "gspo": [], "ppo": ["values"], "reinforce_plus_plus": ["mask"], "reinforce_plus_plus_baseline": [], "on_policy_distillation": ["logp", "teacher"]}
+    if estimator not in needed:
+        raise ValueError(f"unknown estimator {estimator!r}")
+    given = {"logp": logp, "ref": ref, "mask": mask, "values": values, "teacher": teacher}
+    penal = bool(kl_coef) and logp is not None and estimator != "on_policy_distillation"
+    missing = [n for n in needed[estimator] + ["ref"] * penal if given[n] is None]
+    if missing or (logp is None and values is None):
+        raise ValueError(f"{estimator} needs {missing or 'logp or values'}")
+    like = logp if logp is not None else values
+    terms = kl(logp, ref, kl_kind) if penal else F.transform(like, lambda x: F.lit(0.0))
+    if estimator in ("grpo", "gspo"):
+        a = r = group_returns(reward, like)
+    elif estimator == "ppo":
+        token = F.transform(terms, lambda k, i: -F.lit(kl_coef) * k + F.when(i + 1 == F.size(like), reward.cast("double")).otherwise(0.0))
+        a = gae(token, values, gamma, lam)
+        return let(a, lambda x: F.struct(x.alias("advantages"), F.zip_with(x, values, lambda p, v: p + v.cast("double")).alias("returns")))
+    elif estimator == "reinforce_plus_plus":
+        a = r = discounted_returns(reward, terms, mask, kl_coef, gamma)
+    elif estimator == "reinforce_plus_plus_baseline":
+        a = r = baseline_advantages(reward, terms, kl_coef)
+    else:
+        a = r = distillation_advantages(logp, teacher)
+    return let(a, lambda x: F.struct(x.alias("advantages"), x.alias("returns")))

@@ -200,3 +200,28 @@ def latest_rank(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """Rows of the latest `order` of each group, all of them at a tie."""
     w = Window.partitionBy(*by)
     return df.withColumn("__x", F.max(order).over(w)).where(F.col(order).eqNullSafe(F.col("__x"))).drop("__x")
+
+
+def buffered_first(buffer: DataFrame, dataset: DataFrame, order: list[str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the next n groups, what stays in the buffer, what stays of the dataset): the buffer's groups first, the rest from the dataset.
+
+    One row is one group; order must be unique in each side.
+    """
+    taken, waiting = popped(buffer, order, n)
+    more, left = popped(dataset, order, max(0, n - taken.count()))
+    return taken.withColumn("buffered", F.lit(True)).unionByName(more.withColumn("buffered", F.lit(False)), allowMissingColumns=True), waiting, left
+
+
+def carried_over(df: DataFrame, group: str, rollout_id: int, status: str = "status", response: str = "response", start: str = "start_rollout_id") -> DataFrame:
+    """All rows of the groups with an aborted sample, to be queued again; a sample that has begun to respond
+    is marked with the rollout it began in, once."""
+    stopped = df.where(F.col(status) == "aborted").select(group).distinct()
+    begun = F.when(F.col(response).isNotNull() & (F.col(response) != ""), F.lit(rollout_id))
+    return df.join(stopped, group, "left_semi").withColumn(start, F.coalesce(F.col(start), begun))
+
+
+def metric_reached(evals: DataFrame, metric: str, threshold: float) -> DataFrame:
+    """One row: evaluations, those without the metric, and whether it reached the threshold in any; false where one lacks it."""
+    lacking = F.count_if(F.col(metric).isNull())
+    hit = F.coalesce(F.max(F.col(metric) >= threshold), F.lit(False))
+    return evals.agg(F.count(F.lit(1)).alias("evaluations"), lacking.alias("missing"), (hit & (lacking == 0)).alias("reached"))

@@ -34,6 +34,11 @@ def pending(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return every.join(done.select(key).distinct(), key, "left_anti")
 
 
+def heldout(test: DataFrame, train: DataFrame, value: str) -> DataFrame:
+    """The distinct values of the test rows that no training row has; nulls are left out."""
+    return pending(test.select(value).where(F.col(value).isNotNull()).distinct(), train, value)
+
+
 def append_absent(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """The new rows whose key is not in the old ones, each key once: an idempotent append."""
     return pending(new.dropDuplicates([key]), old, key)

@@ -42,6 +42,18 @@ def final_decision_reward(match: Column, faithfulness: Column, valid: Column, sc
     return F.when(~valid, F.lit(-0.75)).when(scorer_failed, F.lit(None).cast("double")).otherwise(decision_reward(match, faithfulness, eta))
 
 
+def tool_use_reward(score: Column, calls: Column) -> Column:
+    """A negative score gains 0.05 per tool call over two (and loses as much below), but stays at most -0.6; others pass."""
+    return F.when(score < 0, F.least(F.lit(-0.6), score + (F.coalesce(calls, F.lit(0)) - 2) / 2 * 0.1)).otherwise(score)
+
+
+def multi_agent_rewards(df: DataFrame, group: str, role: str, reward: str, correct: float, incorrect: float) -> DataFrame:
+    """Every reward of a group times `correct` where its selector's reward is 1, else (also without a selector) times `incorrect`."""
+    right = df.groupBy(F.col(group).alias("__g")).agg(F.max(F.coalesce((F.col(role) == "selector") & (F.col(reward) == 1), F.lit(False))).alias("__right"))
+    weight = F.when(F.col("__right"), F.lit(correct)).otherwise(F.lit(incorrect))
+    return df.join(right, F.col(group).eqNullSafe(F.col("__g"))).withColumn(reward, F.col(reward) * weight).drop("__g", "__right")
+
+
 def ensemble(df: DataFrame, by: list[str], utility: str = "task_utility", leakage: str = "leakage", lam: float = LAMBDA) -> DataFrame:
     """Equal-weight means over an ensemble and the reward of the means."""
     rows = df.groupBy(*by).agg(F.avg(utility).alias("task_utility"), F.avg(leakage).alias("leakage"))

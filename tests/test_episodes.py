@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rillstone.operators import episodes
+from rillstone.functions import sequences
+from rillstone.operators import episodes, merging, rewards
 
 
 def test_attempts_fills_and_repeats(spark):
@@ -53,3 +54,39 @@ def test_projections(spark):
     assert episodes.load_callable("math.sqrt")(4) == 2.0
     with pytest.raises(ValueError):
         episodes.load_callable("nothing")
+
+
+def test_buffer_first_carry_over_and_checker(spark):
+    b, d = spark.createDataFrame([(5,), (6,)], "g int"), spark.createDataFrame([(1,), (2,), (3,)], "g int")
+    keys = lambda df: sorted(r.g for r in df.collect())
+    assert [keys(x) for x in episodes.buffered_first(b, d, ["g"], 3)] == [[1, 5, 6], [], [2, 3]]
+    assert [keys(x) for x in episodes.buffered_first(b, d, ["g"], 1)] == [[5], [6], [1, 2, 3]]
+    s = spark.createDataFrame([(1, 0, "aborted", "ab", None), (1, 1, "completed", "c", 3), (1, 2, "aborted", "", None), (2, 3, "completed", "d", None)], "g int, i int, status string, response string, start_rollout_id int")
+    assert {r.i: r.start_rollout_id for r in episodes.carried_over(s, "g", 7).collect()} == {0: 7, 1: 3, 2: None}
+    check = lambda *v: tuple(episodes.metric_reached(spark.createDataFrame([(x,) for x in v], "m double"), "m", 0.5).first())
+    assert check(0.1, 0.5) == (2, 0, True) and check(0.1) == (1, 0, False) and check(0.9, None) == (2, 1, False) and check() == (0, 0, False)
+    t = lambda *v: spark.createDataFrame([(x,) for x in v], "tactic string")
+    assert [r.tactic for r in merging.heldout(t("a", "b", "b", None), t("a", "c", None), "tactic").collect()] == ["b"]
+
+
+def test_tool_and_agent_rewards(spark):
+    df = spark.createDataFrame([(1.0, 9), (-1.0, 2), (-1.0, 6), (-1.0, 40), (-1.0, None)], "s double, n int")
+    assert [round(r.x, 6) for r in df.select(rewards.tool_use_reward(F.col("s"), F.col("n")).alias("x")).collect()] == [1.0, -1.0, -0.8, -0.6, -1.1]
+    g = spark.createDataFrame([("a", "solver", 0.0), ("a", "rewriter", 1.0), ("a", "selector", 1.0), ("b", "solver", 1.0), ("b", "selector", 0.0), ("c", "solver", 1.0), (None, "solver", 1.0)], "g string, role string, r double")
+    got = sorted((str(r.g), r.role, round(r.r, 6)) for r in rewards.multi_agent_rewards(g, "g", "role", "r", 1.2, 0.8).collect())
+    assert got == [("None", "solver", 0.8), ("a", "rewriter", 1.2), ("a", "selector", 1.2), ("a", "solver", 0.0), ("b", "selector", 0.0), ("b", "solver", 0.8), ("c", "solver", 0.8)]
+
+
+def test_advantage_dispatcher(spark):
+    df = spark.createDataFrame([(2.0, [-1.0, -2.0], [-1.5, -1.0], [1, 1], [0.5, 0.25], [-9.0, -0.5, -0.5])], "r double, lp array<double>, ref array<double>, m array<int>, v array<double>, t array<double>")
+    c = F.col
+    run = lambda name, **x: tuple([round(y, 6) for y in z] for z in df.select(sequences.advantages(name, c("r"), c("lp"), c("ref"), c("m"), c("v"), c("t"), **x).alias("a")).first().a)
+    assert run("grpo") == run("gspo") == ([2.0, 2.0], [2.0, 2.0])
+    assert run("ppo", kl_coef=0.1, gamma=0.9, lam=0.8) == ([1.007, 1.85], [1.507, 2.1])
+    assert run("reinforce_plus_plus", kl_coef=0.1, gamma=0.5) == ([1.0, 2.1], [1.0, 2.1])
+    assert run("reinforce_plus_plus_baseline", kl_coef=0.1) == ([1.95, 2.1], [1.95, 2.1])
+    assert run("on_policy_distillation", kl_coef=0.1) == ([0.5, 1.5], [0.5, 1.5])
+    with pytest.raises(ValueError):
+        run("other")
+    with pytest.raises(ValueError):
+        sequences.advantages("ppo", c("r"), c("lp"))
