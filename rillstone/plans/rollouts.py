@@ -317,6 +317,11 @@ def prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.longest_prefix(docs, known, "doc_id", "text", "p", [6, 12]).select("doc_id", F.char_length("p").alias("matched"))
 
 
+def prefix_match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's longest prefix, of any length, that another document opens with too."""
+    return retrieval.shared_prefix(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def adversary_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of samples of one group: mean distance of their word sets, within the group."""
     s = samples(spark, d, "group_index", "response").select("group_index", "index", text.ascii_tokens(F.coalesce("response", F.lit(""))).alias("t"))
@@ -337,7 +342,7 @@ QUERIES = {
     for f in (
         visible_answers, problem_counts, group_norm_rewards, group_verdicts, drop_reasons, breaker_state, zero_std_groups, reward_categories, family_summary, reward_distribution, sample_metrics, pass_at_k, decision_rewards, leakage_levels,
         ensemble_rewards, masked_means, kl_forms, gae_returns, importance_weights, mismatch_metrics, whitened_rewards, best_checkpoint, metric_deltas, task_schedule, balanced_assignment, target_flows, newest_groups, buffer_norm, buffer_groups,
-        buffer_validity, buffer_meta, stream_group_buffer, retry_merge, label_join, group_tasks, parsed_decisions, answer_f1, graded_letters, first_fit_pack, kk_pack, sequence_packs, shards, replicated_prompts, embedding_topk, bm25_topk, prefix_match,
+        buffer_validity, buffer_meta, stream_group_buffer, retry_merge, label_join, group_tasks, parsed_decisions, answer_f1, graded_letters, first_fit_pack, kk_pack, sequence_packs, shards, replicated_prompts, embedding_topk, bm25_topk, prefix_match, prefix_match_whole,
         adversary_pairs, running_reward,
     )
 }

@@ -142,6 +142,20 @@ def test_topk(spark):
     assert {r.doc_id: r.p for r in p.collect()} == {1: "red f", 2: "re", 3: None, 4: None, 5: None}
 
 
+def test_prefixes_of_every_length(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(2500))
+    texts = [long[: rng.randrange(2, 2500)] + rng.choice("xyz") * rng.randrange(3) for _ in range(60)] + [long + "p", long + "q", "twice", "twice", "alone", "", "", None, "\u00e9a", "\U0001f600b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = {i: max((shared(t, u) for j, u in enumerate(texts) if j != i and u is not None), default=0) or None if t is not None else None for i, t in enumerate(texts)}
+    got = retrieval.shared_prefix(df, "i", "t").collect()
+    assert {r.i: r.matched for r in got} == want and len(got) == len(texts) and want[60] == 2500
+    keys = [long[:n] for n in (1, 7, 300, 1800)] + ["twi", "twice more", "", None]
+    found = retrieval.longest_prefix(df, spark.createDataFrame([(k,) for k in keys], "p string"), "i", "t", "p").collect()
+    assert {r.i: r.p for r in found} == {i: max((k for k in keys if k and t is not None and t.startswith(k)), key=len, default=None) for i, t in enumerate(texts)}
+
+
 def test_sequences(spark):
     rng = random.Random(4)
     n = 9
