@@ -87,9 +87,10 @@ def covered(parts: list[DataFrame], whole: DataFrame, key: str) -> DataFrame:
 
 
 def quarantined(df: DataFrame, issues: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with an issue, the others)."""
-    bad = issues.select(key).distinct()
-    return df.join(bad, key, "left_semi"), df.join(bad, key, "left_anti")
+    """(rows with an issue, the others); a null key is a key like any other."""
+    bad = issues.select(F.col(key).alias("__k")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    return df.join(bad, same, "left_semi"), df.join(bad, same, "left_anti")
 
 
 def namespaced(parts: dict[str, DataFrame], key: str) -> DataFrame:

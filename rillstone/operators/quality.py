@@ -37,6 +37,11 @@ def issues(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     return df.select(F.col(key).alias("record_id"), F.explode(F.flatten(F.array(*[r.found() for r in rules]))).alias("i")).select("record_id", "i.*")
 
 
+def quarantine_ids(found: DataFrame, warnings: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id): records with a hard error of any rule, and those with one of the named warnings."""
+    return found.where((F.col("severity") == "hard") | F.col("code").isin(*warnings)).select("record_id").distinct()
+
+
 def _ids(items: str, prefix: str) -> Column:
     """Items whose id is not prefix_i in their order."""
     bad = F.transform(items, lambda x, i: F.when(~x["id"].eqNullSafe(F.concat(F.lit(prefix + "_"), (i + 1).cast("string"))), F.coalesce(x["id"], F.lit("(null)"))))

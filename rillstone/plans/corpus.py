@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from rillstone.functions import hashing, stats, text
 from rillstone.functions.taxonomies import ATTACK_TAGS, BOUNDARY_CUES, LEVERAGE_TAGS, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES, STOPWORDS
 from rillstone.operators import merging, planning, quality
 from rillstone.operators.selection import first_by_hash
+from rillstone.session import materialize
 from rillstone.sources.tables import table
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -193,6 +196,19 @@ def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
     return bad.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("quarantined")).unionAll(good.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("retained")))
 
 
+def quarantine_all(spark: SparkSession, d: str) -> DataFrame:
+    """Records of both mechanisms and their sidecars: how many a hard error of any rule quarantines, and how many are retained."""
+    found = {t: quality.issues(table(spark, d, t), "id", rules) for t, rules in (("miu_record", quality.miu_rules()), ("eil_record", quality.eil_rules()))}
+    bad = {t: materialize(quality.quarantine_ids(f).withColumnRenamed("record_id", "id"), "quarantine") for t, f in found.items()}
+    bad["audit_sidecar"] = bad["miu_record"].unionAll(bad["eil_record"])
+    counts = []
+    for t, ids in bad.items():
+        rows = table(spark, d, t, F.col("record_id").alias("id") if t == "audit_sidecar" else "id")
+        for part, kept in zip(("quarantined", "retained"), merging.quarantined(rows, ids, "id")):
+            counts.append(kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("source"), F.lit(part).alias("part"), "n"))
+    return reduce(DataFrame.unionAll, counts)
+
+
 def pair_join(spark: SparkSession, d: str) -> DataFrame:
     """A keyed join with its projection: line items with their part's brand."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
@@ -229,7 +245,7 @@ QUERIES = {
     for f in (
         corpus_quality_gate, split_bucket_counts, seed_pick, cyclic_plan, normalized_duplicates, text_measures, slug_categories, boundary_cue_flags, tag_incidence, attack_tagsets, distribution_entropy, event_distribution,
         profile_nmi, position_role_nmi, quantile_nearest_rank, describe_by_group, spearman_ranks, item_overlaps, overlap_summary, eil_issues, miu_issues, miu_issue_counts, release_gate, provenance_checks, anchor_copies,
-        earlier_similar_requests, sidecar_profile_mismatches, latest_attempts, pending_records, repeated_ids, integrity_conflicts, quarantine_counts, pair_join, namespaced_union, pilot_rows, corpus_report, option_positions, prompt_projection,
+        earlier_similar_requests, sidecar_profile_mismatches, latest_attempts, pending_records, repeated_ids, integrity_conflicts, quarantine_counts, quarantine_all, pair_join, namespaced_union, pilot_rows, corpus_report, option_positions, prompt_projection,
     )
 }
 

@@ -86,6 +86,27 @@ def test_validators(spark):
     assert got == {"b": "a"}
 
 
+def test_quarantine_takes_every_hard_error(spark, tmp_path):
+    from rillstone.plans import corpus
+
+    fit = {"mechanism": "MIU", "family_domain": "f", "subscenario": "s", "split": "train", "user_natural_language": "please decide", "user_constraints": [], "user_preferences": [], "authorized_information": [("auth_1", "n", "a")], "decision_boundary": ([(f"opt_{i}", f"l{i}") for i in (1, 2, 3)],),
+           "clean_context": [("clean_1", "c", "auth_1")], "manipulated_context": [("mani_1", "m", "x")], "external_information": [Row(content="c"), Row(content="m")], "baseline_decision": ("opt_1", ["clean_1"], None)}
+    faults = {"good": {}, "warned": {"clean_context": [("clean_1", "w " * 30, "auth_1")], "external_information": [Row(content="w " * 30), Row(content="m")]}, "field": {"split": None}, "options": {"decision_boundary": ([("opt_1", "a"), ("opt_2", "b")],)}, "union": {"external_information": [Row(content="c")]},
+              "attacks": {"manipulated_context": [("mani_1", "m", "x"), ("mani_2", "n", "X!")], "external_information": [Row(content=c) for c in "cmn"]}, "grounds": {"baseline_decision": ("opt_1", [], None)}, None: {}}
+    shape = spark.createDataFrame([], schemas.MIU).schema
+    content = next(f for f in shape["external_information"].dataType.elementType.fields if f.name == "content")
+    wide = lambda rows: rows and [tuple(r["content"] if f.name == content.name else None for f in shape["external_information"].dataType.elementType.fields) for r in rows]
+    rows = [{**fit, **f, "id": i} for i, f in faults.items()] + [{**fit, "id": "options"}]
+    miu = spark.createDataFrame([tuple(wide(r[f.name]) if f.name == "external_information" else r.get(f.name) for f in shape.fields) for r in rows], shape)
+    miu.write.parquet(f"{tmp_path}/miu_record.parquet")
+    spark.createDataFrame([("e1", "EIL", *[None] * 9)], schemas.EIL).write.parquet(f"{tmp_path}/eil_record.parquet")
+    spark.createDataFrame([("good",), ("options",), ("options",), ("e1",), ("gone",)], "record_id string").write.parquet(f"{tmp_path}/audit_sidecar.parquet")
+    got = {(r.source, r.part): r.n for r in corpus.quarantine_all(spark, str(tmp_path)).collect()}
+    assert got == {("miu_record", "quarantined"): 7, ("miu_record", "retained"): 2, ("eil_record", "quarantined"): 1, ("eil_record", "retained"): 0, ("audit_sidecar", "quarantined"): 3, ("audit_sidecar", "retained"): 2}
+    found = quality.issues(miu, "id", quality.miu_rules())
+    assert {r.record_id for r in quality.quarantine_ids(found, ("length_cue",)).collect()} - {r.record_id for r in quality.quarantine_ids(found).collect()} == {"warned"}
+
+
 def test_plans(spark, one):
     df = spark.createDataFrame([("Van Hire", 3)], "scenario string, target_count int")
     rows = planning.scenario_plan(df, 7, {"form": ["x", "y", "z"]}).orderBy("ordinal").collect()
