@@ -194,18 +194,20 @@ class Prompt:
 
     def __init__(self, text: str):
         self.words = plain_words(text)
+        self.joined = f" {' '.join(self.words)} "
         raw = " ".join(self.words).encode()
         self.known: dict[int, set[tuple[str, ...]]] = {}
-        self.compressor = None
+        self.compressor, self.frame = None, 0
         if len(raw) >= 8:
             book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             wide = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.compressor = zstandard.ZstdCompressor(dict_data=book, compression_params=wide)
+            self.frame = len(self.compressor.compress(b""))
 
     def ratio(self, words: list[str]) -> float:
-        """Compressed size of the words with the prompt as dictionary, per byte."""
+        """Compressed size of the words with the prompt as dictionary, without the frame, per byte."""
         raw = " ".join(words).encode()
-        return len(self.compressor.compress(raw)) / len(raw) if self.compressor and raw else 1.0
+        return (len(self.compressor.compress(raw)) - self.frame) / len(raw) if self.compressor and raw else 1.0
 
     def covered(self, words: list[str], run: int) -> int:
         """How many words stand in stretches of at least `run` words that the prompt holds too."""
@@ -222,9 +224,14 @@ class Prompt:
 
 def is_copy(prompt: Prompt, text: str, ratio: float = 0.6, share: float = 0.75, run: int = 4, least: int = 4) -> bool:
     """Whether the text only gives prompt text back: it compresses to a `ratio` with the prompt as
-    dictionary, and at least a `share` of its words stand in prompt runs, or all but a short lead-in."""
+    dictionary, and at least a `share` of its words stand in prompt runs, or all but a short lead-in. Words
+    that stand in the prompt in one run need no ratio; fewer than `least` are an answer, not a copy."""
     words = plain_words(text)
-    if len(words) < least or prompt.ratio(words) > ratio:
+    if len(words) < least:
+        return False
+    if f" {' '.join(words)} " in prompt.joined:
+        return True
+    if prompt.ratio(words) > ratio:
         return False
     got = prompt.covered(words, run)
     return got >= share * len(words) or (got >= 12 and len(words) - got <= 6)

@@ -69,3 +69,15 @@ def test_table(spark):
     assert {i: d for i, d in got.items() if i < 1000} == {i: w for i, (_, _, w) in enumerate(CASES) if w}
     assert not [i for i in got if i >= 1000]
     assert D.broken_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_short_verbatim_copies():
+    from rillstone.llm.defects import Prompt, is_copy
+
+    text = "Quartz jumbled vexing fjord; whisky blintz gnomes pack my liquor jugs. Twelve zebras hexed brown quilts."
+    words = text.split()
+    prompt = Prompt(text)
+    for n in range(4, len(words) + 1):
+        for at in range(len(words) - n + 1):
+            assert is_copy(prompt, " ".join(words[at : at + n])), words[at : at + n]
+    assert not is_copy(prompt, "whisky blintz gnomes") and not is_copy(prompt, "gnomes blintz whisky quartz") and not is_copy(Prompt(""), "whisky blintz gnomes pack")
