@@ -87,8 +87,18 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n - c < k, F.lit(1.0)).when(c <= 0, F.lit(0.0)).otherwise(1 - F.aggregate(terms, F.lit(1.0), lambda a, x: a * x))
 
 
+def mapped_share(df: DataFrame, tag_lists: str, by: str) -> DataFrame:
+    """(grp, fields, unmapped, mapped_rate): fields, those tagged only "other", and the share of the rest to 4
+    places, overall and by group; no share without fields."""
+    n = F.coalesce(F.size(tag_lists), F.lit(0))
+    other = F.coalesce(F.size(F.filter(tag_lists, lambda t: F.array_join(t, "|") == "other")), F.lit(0))
+    found = df.select(by, n.alias("n"), other.alias("o")).cube(by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fields"), F.coalesce(F.sum("o"), F.lit(0)).alias("unmapped"), F.grouping_id().alias("g"))
+    rate = F.bround(F.try_divide(F.col("fields") - F.col("unmapped"), F.col("fields")), 4)
+    return found.select(F.when(F.col("g") == 1, F.lit("(all)")).otherwise(F.coalesce(by, F.lit("(null)"))).alias("grp"), "fields", "unmapped", rate.alias("mapped_rate"))
+
+
 def incidence(df: DataFrame, tag_lists: str, by: str) -> DataFrame:
-    """Tag counts and the mapped share of fields, overall (null group) and by group, in one pass."""
+    """Tag counts, overall ("(all)") and by group, in one pass; mapped_share has the share of mapped fields."""
     fields = df.select(by, F.explode(tag_lists).alias("field"))
     counts = fields.select(by, F.explode("field").alias("tag")).cube(by, "tag").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")).where("g in (0, 2)")
     return counts.select(F.when(F.col("g") == 2, F.lit("(all)")).otherwise(F.coalesce(by, F.lit("(null)"))).alias("grp"), "tag", "n")

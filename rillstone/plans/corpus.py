@@ -85,6 +85,12 @@ def tag_incidence(spark: SparkSession, d: str) -> DataFrame:
     return stats.incidence(e.select("family_domain", F.transform("necessary_information", lambda x: text.tags(x["content"], NECESSARY_TAGS)).alias("tags")), "tags", "family_domain")
 
 
+def tag_mapped_share(spark: SparkSession, d: str) -> DataFrame:
+    """Of the fields of tag_incidence, how many have a tag other than "other"."""
+    e = table(spark, d, "eil_record", "family_domain", "necessary_information")
+    return stats.mapped_share(e.select("family_domain", F.transform("necessary_information", lambda x: text.tags(x["content"], NECESSARY_TAGS)).alias("tags")), "tags", "family_domain")
+
+
 def attack_tagsets(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "miu_record", "manipulated_context")
     return m.groupBy(text.tagset(F.transform("manipulated_context", lambda x: text.tags(x["attack"], ATTACK_TAGS))).alias("tagset")).agg(F.count(F.lit(1)).alias("n"))
@@ -243,7 +249,7 @@ def prompt_projection(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_quality_gate, split_bucket_counts, seed_pick, cyclic_plan, normalized_duplicates, text_measures, slug_categories, boundary_cue_flags, tag_incidence, attack_tagsets, distribution_entropy, event_distribution,
+        corpus_quality_gate, split_bucket_counts, seed_pick, cyclic_plan, normalized_duplicates, text_measures, slug_categories, boundary_cue_flags, tag_incidence, tag_mapped_share, attack_tagsets, distribution_entropy, event_distribution,
         profile_nmi, position_role_nmi, quantile_nearest_rank, describe_by_group, spearman_ranks, item_overlaps, overlap_summary, eil_issues, miu_issues, miu_issue_counts, release_gate, provenance_checks, anchor_copies,
         earlier_similar_requests, sidecar_profile_mismatches, latest_attempts, pending_records, repeated_ids, integrity_conflicts, quarantine_counts, quarantine_all, pair_join, namespaced_union, pilot_rows, corpus_report, option_positions, prompt_projection,
     )

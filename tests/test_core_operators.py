@@ -257,3 +257,9 @@ def test_hashes(spark):
         b = int(h[:8], 16) % 100
         assert int(r.s) == int(h[:16], 16) and r.t == int(h[:8], 16) & 0x7FFFFFFF
         assert r.p == ("train" if b < 80 else "val" if b < 90 else "test")
+
+
+def test_mapped_share(spark):
+    df = spark.createDataFrame([("f", [["a", "b"], ["other"], ["a"]]), ("f", None), ("g", []), (None, [["other"]])], "f string, t array<array<string>>")
+    got = {r.grp: (r.fields, r.unmapped, r.mapped_rate) for r in stats.mapped_share(df, "t", "f").collect()}
+    assert got == {"(all)": (4, 2, 0.5), "f": (3, 1, 0.6667), "g": (0, 0, None), "(null)": (1, 1, 0.0)}
