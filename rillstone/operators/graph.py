@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.selection import with_position
 from rillstone.session import materialize
 
 
@@ -21,27 +22,38 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).unionAll(moved).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Each node of an edge with the smallest node of its component: (node, component).
 
     Every step sends a node's edges to its least neighbour, by a pre-aggregated minimum
     joined back on the node, so that a hub is split like any skewed join and no
-    neighbour list is ever gathered. Each round is written to the shared folder.
-    Edges with a null end and self-loops give no link; a node known only from a
-    self-loop is its own component. No edges give an empty table. Other columns are ignored.
+    neighbour list is ever gathered. Each round is written to the shared folder, and rounds go on
+    until one changes nothing. String nodes are numbered in their order first, so that the rounds
+    shuffle and hash whole numbers. Edges with a null end and self-loops give no link; a node
+    known only from a self-loop is its own component. No edges give an empty table. Other columns
+    are ignored.
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    if dict(named.dtypes)["u"] != "string":
+        return _settled(named)
+    named = materialize(named.distinct(), "named-edges")
+    nodes = with_position(named.select(F.col("u").alias("name")).unionAll(named.select("v")).distinct(), ["name"], "n")
+    end = lambda c: nodes.select(F.col("name").alias(c), F.col("n").alias(f"{c}n"))
+    found = _settled(named.join(end("u"), "u").join(end("v"), "v").select(F.col("un").alias("u"), F.col("vn").alias("v")))
+    node, root = (nodes.select(F.col("n").alias(c), F.col("name").alias(f"{c}_name")) for c in ("node", "component"))
+    return found.join(node, "node").join(root, "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
+
+
+def _settled(named: DataFrame) -> DataFrame:
     now = materialize(named.where("u != v").distinct(), "edges")
     loops = named.where("u = v").select("u").distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = materialize(_small_star(_large_star(now)), "edges")
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40)))).first())
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     known = nodes.unionAll(roots)

@@ -42,14 +42,11 @@ MIU_TABLES = (
 ENVELOPES = ("record", "payload", "data", "body")
 WRAPPERS = ("cards", "items", "list", "options", "elements", "values", "spans")
 RECORD_MARKS = ("decision_boundary", "clean_context", "manipulated_context", "baseline_decision", "user_natural_language", "subscenario")
-MAX_UNWRAP = 8
 
 
 def decoded(value: Any) -> Any:
     """The value, with JSON inside text read as far as it goes; text that is no JSON object or list stays."""
-    for _ in range(MAX_UNWRAP):
-        if not isinstance(value, str) or value.strip()[:1] not in ("{", "[", '"'):
-            break
+    while isinstance(value, str) and value.strip()[:1] in ("{", "[", '"'):  # each reading shortens the text
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
@@ -60,7 +57,7 @@ def decoded(value: Any) -> Any:
 def record_of(payload: str | None) -> dict | None:
     """The record in a payload, out of its envelopes; None where it can't be read."""
     value = decoded(payload)
-    for _ in range(MAX_UNWRAP):
+    while True:
         if isinstance(value, list) and len(value) == 1:
             value = decoded(value[0])
             continue

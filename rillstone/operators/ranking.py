@@ -6,17 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocked_rank(df: DataFrame, keys: list[str], unique: list[str], seed: int, out: str, blocks: int = 4096) -> DataFrame:
+#: About how many rows of one group share a window.
+BLOCK_ROWS = 1 << 16
+
+
+def block_bits(rows: int) -> int:
+    """How many leading hash bits cut so many rows into blocks of about BLOCK_ROWS."""
+    return max(0, (rows - 1) // BLOCK_ROWS).bit_length()
+
+
+def blocked_rank(df: DataFrame, keys: list[str], unique: list[str], seed: int, out: str, rows: int | None = None) -> DataFrame:
     """Append the 0-based place of each row in its group of `keys`, in an order drawn by hash.
 
-    The order is by some bits of a seeded 64-bit hash of the columns `unique`, then by the whole
-    hash and the columns. Those bits cut each group into `blocks` blocks; the block counts, at most groups times
-    blocks rows, are prefix-summed, and rows are numbered inside their block only. A group
-    with a third of all rows thus spreads over thousands of windows. Null keys form a group
-    of their own.
+    The order is by a seeded 64-bit hash of the columns `unique`, then by the columns. The hash's
+    leading bits cut each group into blocks, as many as the number of rows asks for (`rows`, by
+    default counted; best a materialised df); the block counts are prefix-summed, and rows are
+    numbered inside their block only. A group with a third of all rows thus spreads over many
+    windows, and the result does not depend on the number of blocks. Null keys form a group of
+    their own.
     """
+    bits = block_bits(df.count() if rows is None else rows)
     order = F.xxhash64(F.lit(seed), *[F.col(c) for c in unique])
-    placed = df.withColumn("__h", order).withColumn("__b", F.pmod(F.shiftright("__h", 40), F.lit(blocks)).cast("int"))
+    block = F.shiftright("__h", 64 - bits) if bits else F.lit(0).cast("long")
+    placed = df.withColumn("__h", order).withColumn("__b", block)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", *unique)

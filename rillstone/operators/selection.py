@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.hashing import joined, seed64
 from rillstone.operators.ranking import blocked_rank
+from rillstone.session import materialize
 
 
 def quota_count(total: int, share: float) -> int:
@@ -46,7 +47,7 @@ def balanced_labels(df: DataFrame, by: list[str], key: str, labels: list[str], o
     Rows are ranked in blocks of a hashed order; the label comes from the rank by arithmetic, so a
     group of any size is balanced without one task holding it.
     """
-    ranked = blocked_rank(df, by, [key], 17, "__rank")
+    ranked = blocked_rank(materialize(df, "unlabelled"), by, [key], 17, "__rank")
     ordered = F.sort_array(F.array(*[F.struct(seed64(joined(*by, F.lit("target"), F.lit(x))).alias("h"), F.lit(x).alias("label")) for x in labels]))
     return ranked.withColumn(out, F.element_at(ordered, (F.col("__rank") % len(labels)).cast("int") + 1)["label"]).drop("__rank")
 
@@ -91,14 +92,20 @@ def with_deltas(df: DataFrame, order: str, fields: list[str], flipped: tuple[str
 
 
 def with_position(df: DataFrame, order: list[str], out: str = "__pos") -> DataFrame:
-    """0-based positions in a total order: rows are ranged into partitions, counted, and offset."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
+    """0-based positions in a total order: rows are ranged into sorted partitions, counted, and offset.
+
+    The sorted ranges are materialised with each row's place in its range, so that counts and places
+    always come from one and the same cut. Rows equal in all of `order` stand in any order.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The high bits of this number are the range, the low 33 the place in it.
+    kept = materialize(ranged.withColumn("__m", F.monotonically_increasing_id()), "ranged")
+    placed = kept.withColumn("__p", F.shiftright("__m", 33))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition.
-    starts = ranged.groupBy("__p").count().select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
-    placed = inside.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
-    return placed.select(*df.columns, (F.col("__s") + F.col("__i")).cast("long").alias(out))
+    # One row per range.
+    starts = placed.groupBy("__p").count().select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    placed = placed.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
+    return placed.select(*df.columns, (F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out))
 
 
 def shard(df: DataFrame, order: list[str], index: int, count: int) -> DataFrame:

@@ -31,14 +31,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_blocked_rank(spark):
+def test_components_go_on_until_they_settle(spark):
+    """A path of 300 nodes in shuffled order, and names against numbers."""
+    names = list(range(300))
+    random.Random(4).shuffle(names)
+    path = spark.createDataFrame(list(zip(names, names[1:])), "src long, dst long")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    named = path.select(F.concat(F.lit("n"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("dst").cast("string")).alias("dst"))
+    assert {r.component for r in connected_components(named).collect()} == {"n0"}
+
+
+def test_blocked_rank(spark, monkeypatch):
+    from rillstone.operators import ranking
+
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 40)
+    assert [ranking.block_bits(n) for n in (0, 1, 40, 41, 80, 81, 541)] == [0, 0, 0, 1, 1, 2, 4]
     rows = [(k, i) for k in ("a", "b", None) for i in range(500 if k == "a" else 20)]
-    out = blocked_rank(spark.createDataFrame(rows, "k string, i int"), ["k"], ["i"], 3, "rank", blocks=16).collect()
+    out = blocked_rank(spark.createDataFrame(rows, "k string, i int"), ["k"], ["i"], 3, "rank").collect()
     by = defaultdict(list)
     for r in out:
         by[r.k].append(r["rank"])
     assert {k: sorted(v) for k, v in by.items()} == {"a": list(range(500)), "b": list(range(20)), None: list(range(20))}
-    again = blocked_rank(spark.createDataFrame(rows[::-1], "k string, i int"), ["k"], ["i"], 3, "rank", blocks=16)
+    again = blocked_rank(spark.createDataFrame(rows[::-1], "k string, i int"), ["k"], ["i"], 3, "rank", rows=60)
     assert {(r.k, r.i, r["rank"]) for r in out} == {(r.k, r.i, r["rank"]) for r in again.collect()}
 
 

@@ -53,5 +53,15 @@ def test_tables_keep_links_and_values(spark):
     assert {r.status for r in tables["per_constraint"].collect()} == {"met", "unknown"}
 
 
+def test_many_envelopes_and_encodings(spark):
+    deep, often = {"record": RECORD}, json.dumps(RECORD)
+    for _ in range(60):
+        deep = {"payload": deep}
+    for _ in range(12):
+        often = json.dumps(often)
+    got = rows(spark, [json.dumps(deep), often, json.dumps({"data": [{"body": [often]}]})])
+    assert [set(got[i]) for i in range(3)] == [WANT] * 3
+
+
 def test_empty_table(spark):
     assert child_rows(spark.createDataFrame([], "raw_id long, payload string")).count() == 0
