@@ -82,20 +82,21 @@ def round_quotas(x: dict[tuple[Hashable, Hashable], int], unit: int, rng: random
     graph of fractional quotas until none is left.
     """
     whole = {k: v // unit for k, v in x.items()}
-    part = {k: v % unit for k, v in x.items() if v % unit}
+    part = {k: v % unit for k, v in sorted(x.items(), key=repr) if v % unit}
+    near: dict[Hashable, dict[tuple, None]] = defaultdict(dict)
+    for e in part:
+        near["a", e[0]][e] = near["b", e[1]][e] = None
+    leaves = [v for v, es in near.items() if len(es) == 1]
     while part:
-        near: dict[Hashable, list[tuple]] = defaultdict(list)
-        for a, b in part:
-            near["a", a].append((a, b))
-            near["b", b].append((a, b))
-        ends = [v for v, es in near.items() if len(es) == 1]
-        at = min(ends, key=repr) if ends else min(near, key=repr)
+        while leaves and len(near[leaves[-1]]) != 1:
+            leaves.pop()
+        # From a node with one fractional quota a path ends at another; without such nodes there is a cycle.
+        at = leaves[-1] if leaves else ("a", next(iter(part))[0])
         walk, seen, used = [], {at: 0}, set()
         while True:
-            nxt = [e for e in near[at] if e not in used]
-            if not nxt:
+            e = next((e for e in near[at] if e not in used), None)
+            if e is None:
                 break
-            e = nxt[0]
             used.add(e)
             walk.append(e)
             at = ("b", e[1]) if at[0] == "a" else ("a", e[0])
@@ -107,8 +108,13 @@ def round_quotas(x: dict[tuple[Hashable, Hashable], int], unit: int, rng: random
         rise = min([unit - part[e] for e in up] + [part[e] for e in down])
         fall = min([part[e] for e in up] + [unit - part[e] for e in down])
         step = rise if rng.randrange(rise + fall) < fall else -fall
-        for e in walk:
-            part[e] += step if e in up else -step
-            if part[e] in (0, unit):
-                whole[e] += part.pop(e) // unit
+        for edges, by in ((up, step), (down, -step)):
+            for e in edges:
+                part[e] += by
+                if part[e] in (0, unit):
+                    whole[e] += part.pop(e) // unit
+                    for v in (("a", e[0]), ("b", e[1])):
+                        del near[v][e]
+                        if len(near[v]) == 1:
+                            leaves.append(v)
     return whole

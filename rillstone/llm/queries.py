@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.llm import defects, mixing, overlaps, quotas, spans, splits, tokens
 from rillstone.llm.sql import ORACLES as ORACLES
-from rillstone.session import materialize
 from rillstone.sources.tables import table
 
 
@@ -28,6 +27,10 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _category_sample(spark, d).sample
 
 
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    return _category_sample(spark, d).margins()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.cross_split(table(spark, d, "miu_record")).record_pairs(cross=True).select("id_1", "id_2").distinct()
 
@@ -41,9 +44,7 @@ def _new_splits(spark: SparkSession, d: str) -> splits.NewSplits:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    miu = table(spark, d, "miu_record")
-    groups = materialize(splits.record_groups(miu, table(spark, d, "audit_sidecar")), "record-groups")
-    return splits.torn_groups(miu, groups)
+    return _new_splits(spark, d).mended(table(spark, d, "miu_record"))
 
 
 def p4_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +55,10 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _new_splits(spark, d).report()
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _new_splits(spark, d).checks()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.small_edits(table(spark, d, "miu_record"), table(spark, d, "eil_record")).record_pairs()
 
@@ -75,7 +80,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.length_report(spark, table(spark, d, "documents"))
+    return tokens.length_report(table(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +95,10 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).draws
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).checks()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
@@ -98,4 +107,4 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_assignment, p4_report, p6_found, p6_groups, p7_ids, p7_lengths, p8_found, p8_report, p8_mix, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_margins, p2_found, p2_report, p3_found, p3_report, p4_found, p4_assignment, p4_report, p4_checks, p6_found, p6_groups, p7_ids, p7_lengths, p8_found, p8_report, p8_mix, p8_checks, p9_found, p9_coverage)}

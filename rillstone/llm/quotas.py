@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rillstone.llm.flow import Network, round_quotas
@@ -17,7 +17,6 @@ CATEGORIES = ("mechanism", "family_domain", "subscenario")
 #: Micro-rows: targets are shares per mille of draws per mille of the pool, so whole at this scale.
 UNIT = 1_000_000
 FLOOR_SLACK, TARGET_SLACK = 1000, 10
-MAX_KINDS = 200_000
 
 
 def category_key(c: str | Column) -> Column:
@@ -42,6 +41,15 @@ class CategorySample:
     report: DataFrame
     sample: DataFrame
 
+    def margins(self) -> DataFrame:
+        """Per cell, what the drawn records themselves show: (plan_id, cell_id, available, short_rows, cannot_meet,
+        met); met: within one row of what was wanted and not short."""
+        got = self.sample.groupBy("plan_id", "cell_id").agg(F.count(F.lit(1)).alias("in_cell"), F.count_distinct("id").alias("ids"))
+        rows = self.report.join(got, ["plan_id", "cell_id"], "left").withColumn("in_cell", F.coalesce("in_cell", F.lit(0)))
+        gap = F.abs(F.col("in_cell") - (F.greatest("target_rows", "min_rows") - F.col("short_rows")))
+        met = (gap < 1) & (F.col("in_cell") == F.coalesce("ids", F.lit(0)))
+        return rows.select("plan_id", "cell_id", "available", F.round("short_rows", 6).alias("short_rows"), "cannot_meet", met.alias("met"))
+
 
 def _kinds(pool: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Category triples with the cells they are in, per plan, and how many records each kind has.
@@ -58,6 +66,49 @@ def _kinds(pool: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, held.groupBy("plan_id", "cells").agg(F.sum("n").alias("n"))
 
 
+def _entangled(kinds: list[tuple[tuple[int, ...], int]]) -> list[list[tuple[tuple[int, ...], int]]]:
+    """The kinds in lots that share no cell with each other."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        root.setdefault(c, c)
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for kind, _ in kinds:
+        for c in kind[1:]:
+            root[find(c)] = find(kind[0])
+    lots = defaultdict(list)
+    for kind, n in kinds:
+        lots[find(kind[0])].append((kind, n))
+    return list(lots.values())
+
+
+def _demands(cell: Row, total: int) -> tuple[int, int]:
+    """Micro-rows that the floor asks for, and those that the share asks for beyond it."""
+    floor = cell.min_rows * UNIT
+    return floor, max(0, cell.share_pm * cell.draw_pm * total - floor)
+
+
+def _filled(cells: dict[int, Row], kinds: list[tuple[tuple[int, ...], int]], total: int) -> tuple[dict, dict[int, int]]:
+    """The cheapest flow from kinds to cells, in micro-rows: ({(kind, cell): flow}, {cell: what its slack arcs carry})."""
+    net, arcs, slack = Network(), defaultdict(list), defaultdict(list)
+    for cell, c in cells.items():
+        for part, demand, price in zip(("floor", "share"), _demands(c, total), (FLOOR_SLACK, TARGET_SLACK)):
+            net.arc((part, cell), "sink", demand)
+            slack[cell].append(net.arc("source", (part, cell), demand, price))
+    for kind, n in kinds:
+        net.arc("source", ("kind", kind), n * UNIT)
+        for cell in kind:
+            for part, demand in zip(("floor", "share"), _demands(cells[cell], total)):
+                if demand:
+                    arcs[kind, cell].append(net.arc(("kind", kind), (part, cell), demand))
+    net.solve("source", "sink")
+    return {k: sum(map(net.flow, own)) for k, own in arcs.items()}, {c: sum(map(net.flow, own)) for c, own in slack.items()}
+
+
 def sample_by_targets(pool: DataFrame, targets: DataFrame, seed: int = 97) -> CategorySample:
     """Draw per plan a sample with the target shares, and report the cells that fall short.
 
@@ -65,61 +116,57 @@ def sample_by_targets(pool: DataFrame, targets: DataFrame, seed: int = 97) -> Ca
     cell_id, the three categories (null = any), share_pm, min_rows, draw_pm. A cell wants the
     larger of its share of the draw and min_rows; a flow fills it from the kinds of records it
     holds, at a higher price for missing a floor than for missing a share, and what the slack
-    arcs carry is the shortfall. Fractional quotas become whole at random, keeping every sum
-    between its floor and ceiling; records are taken in a hashed order within their kind, each
-    at most once per plan. A null category of a record equals nothing. An empty pool leaves
-    every cell with a positive demand short. A cell with null numbers demands nothing.
+    arcs carry is the shortfall (short_rows). A cell cannot be met (cannot_meet) where its slack
+    carries something even in a flow in which no other cell competes for its records. Lots of
+    cells that share no record are solved apart. Fractional quotas become whole at random,
+    keeping every sum between its floor and ceiling; records are taken in a hashed order within
+    their kind, each at most once per plan. A null category of a record equals nothing. An empty
+    pool leaves every cell with a positive demand short. A cell with null numbers demands
+    nothing. The driver holds the plans' cells and one count per distinct set of cells, never a
+    record.
     """
     spark = pool.sparkSession
     pool = materialize(pool, "pool")
     held, kinds = _kinds(pool, targets)
     held = materialize(held, "kinds")
     total = pool.count()
-    # One row per distinct set of cells that some category triple is in.
-    got = kinds.limit(MAX_KINDS + 1).collect()
-    if len(got) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of records; use coarser cells")
+    got = kinds.collect()
     cells = targets.select("plan_id", "cell_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("share_pm", "min_rows", "draw_pm")]).distinct().collect()
+    by_plan: dict[str, dict[int, Row]] = defaultdict(dict)
+    for c in cells:
+        by_plan[c.plan_id][c.cell_id] = c
+    kinds_of = defaultdict(list)
+    for k in got:
+        kinds_of[k.plan_id].append((tuple(k.cells), k.n))
     report, ranges = [], []
-    for plan in sorted({c.plan_id for c in cells}, key=str):
-        own = {c.cell_id: c for c in cells if c.plan_id == plan}
-        of_plan = [(tuple(k.cells), k.n) for k in got if k.plan_id == plan]
-        net, arcs, slack, available = Network(), {}, {}, defaultdict(int)
+    for plan in sorted(by_plan, key=str):
+        own, of_plan = by_plan[plan], sorted(kinds_of[plan])
+        holds = defaultdict(list)
         for kind, n in of_plan:
-            net.arc("source", ("kind", kind), n * UNIT)
-            for cell in kind:
-                available[cell] += n
-        for cell, c in own.items():
-            target, floor = c.share_pm * c.draw_pm * total, c.min_rows * UNIT
-            want = max(target, floor)
-            for part, demand, price in (("floor", min(floor, want), FLOOR_SLACK), ("share", want - min(floor, want), TARGET_SLACK)):
-                net.arc((part, cell), "sink", demand)
-                slack[cell, part] = net.arc("source", (part, cell), demand, price)
-                for kind, _ in of_plan:
-                    if cell in kind and demand:
-                        arcs[kind, cell, part] = net.arc(("kind", kind), (part, cell), demand)
-        net.solve("source", "sink")
-        flow: dict = defaultdict(int)
-        for (kind, cell, _), a in arcs.items():
-            flow[kind, cell] += net.flow(a)
-        whole = round_quotas(dict(flow), UNIT, random.Random(f"{seed}:{plan}"))
-        drawn = defaultdict(int)
-        for kind, _ in sorted(of_plan):
-            at = 0
             for cell in kind:
-                if n := whole.get((kind, cell), 0):
-                    ranges.append((plan, list(kind), cell, at, at + n))
-                    at += n
-                    drawn[cell] += n
+                holds[cell].append(n)
+        rng, short, drawn = random.Random(f"{seed}:{plan}"), {}, defaultdict(int)
+        for lot in _entangled(of_plan):
+            inside = {c: own[c] for kind, _ in lot for c in kind}
+            flow, missing = _filled(inside, lot, total)
+            short |= missing
+            whole = round_quotas(flow, UNIT, rng)
+            for kind, _ in lot:
+                at = 0
+                for cell in kind:
+                    if n := whole.get((kind, cell), 0):
+                        ranges.append((plan, list(kind), cell, at, at + n))
+                        at += n
+                        drawn[cell] += n
         size = sum(drawn.values())
         for cell, c in sorted(own.items()):
-            missing = sum(net.flow(slack[cell, part]) for part in ("floor", "share"))
-            cannot = missing > 0 and (available[cell] * UNIT < c.share_pm * c.draw_pm * total or available[cell] < c.min_rows)
-            report.append((plan, cell, c.share_pm / 1000, c.share_pm * c.draw_pm * total / UNIT, c.min_rows, available[cell], drawn[cell], drawn[cell] / size if size else 0.0, missing / UNIT, cannot))
+            alone = _filled({cell: c}, [((cell,), sum(holds[cell]))], total)[1][cell]
+            target = c.share_pm * c.draw_pm * total
+            report.append((plan, cell, c.share_pm / 1000, target / UNIT, c.min_rows, sum(holds[cell]), drawn[cell], drawn[cell] / size if size else 0.0, short.get(cell, alone) / UNIT, alone > 0))
     rows = spark.createDataFrame(report, "plan_id string, cell_id int, target_share double, target_rows double, min_rows long, available long, drawn long, actual_share double, short_rows double, cannot_meet boolean")
     quota = spark.createDataFrame(ranges, "plan_id string, cells array<int>, cell_id int, lo long, hi long")
     same = [pool[c].eqNullSafe(held[c]) for c in CATEGORIES]
     placed = pool.join(held, same[0] & same[1] & same[2]).select("plan_id", "cells", "id")
-    ranked = blocked_rank(placed, ["plan_id", "cells"], ["id"], seed, "r")
+    ranked = blocked_rank(placed, ["plan_id", "cells"], ["id"], seed, "r", sum(k.n for k in got))
     sample = ranked.join(quota, ["plan_id", "cells"]).where("r >= lo and r < hi").select("plan_id", "cell_id", "id")
     return CategorySample(rows, sample)

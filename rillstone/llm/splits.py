@@ -12,11 +12,11 @@ from rillstone.llm.flow import Network
 from rillstone.llm.quotas import category_key
 from rillstone.operators.graph import connected_components
 from rillstone.operators.ranking import blocked_rank
+from rillstone.operators.selection import with_position
 from rillstone.session import materialize
 
 #: Locators that name no place.
 NO_PLACE = ("", "n/a", "unknown", "-")
-MAX_BUNDLES = 3000
 
 
 def cited_places(sidecar: DataFrame) -> DataFrame:
@@ -36,17 +36,21 @@ def cited_places(sidecar: DataFrame) -> DataFrame:
 def record_groups(miu: DataFrame, sidecar: DataFrame) -> DataFrame:
     """(id, group_id): each MIU id with the smallest id of those tied to it, directly or through others.
 
-    Per place, one pre-aggregated minimum gives a star of ties; a place cited by a third of the
-    records is joined like any skewed key. Records without a place are groups of their own.
+    The records that cite a place are numbered in the order of their ids, so that ties and components
+    work on whole numbers. Per place, one pre-aggregated minimum gives a star of ties; a place cited by
+    a third of the records is joined like any skewed key. Records without a place are groups of their own.
     """
     ids = miu.select("id").where("id is not null").distinct()
     places = cited_places(sidecar).join(ids, F.col("record_id") == F.col("id"), "left_semi")
     places = materialize(places, "places")
     key = ["dataset", "file", "locator"]
-    first = places.groupBy(*key).agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = places.join(first, key).where("record_id != first").select(F.col("record_id").alias("src"), F.col("first").alias("dst"))
-    found = connected_components(edges)
-    return ids.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("group_id"))
+    numbered = with_position(places.select("record_id").distinct(), ["record_id"], "n")
+    cited = materialize(places.join(numbered, "record_id").select("n", *key), "cited")
+    first = cited.groupBy(*key).agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    found = connected_components(cited.join(first, key).where("n != first").select(F.col("n").alias("src"), F.col("first").alias("dst")))
+    name = lambda n, c: numbered.select(F.col("n").alias(n), F.col("record_id").alias(c))
+    named = found.join(name("node", "own"), "node").join(name("component", "least"), "component").select("own", "least")
+    return ids.join(named, F.col("id") == F.col("own"), "left").select("id", F.coalesce("least", "id").alias("group_id"))
 
 
 def torn_groups(miu: DataFrame, groups: DataFrame) -> DataFrame:
@@ -64,6 +68,22 @@ class NewSplits:
     groups: DataFrame
     targets: DataFrame
 
+    def mended(self, miu: DataFrame) -> DataFrame:
+        """(id, group_id) of every record of a group that the present splits (trimmed, lower-cased, not null)
+        tear apart and that now stands in one split."""
+        now = self.assigned.groupBy("group_id").agg(F.min(F.xxhash64("new_split")).alias("a"), F.max(F.xxhash64("new_split")).alias("b")).where("a = b")
+        return torn_groups(miu, self.assigned).join(now, "group_id", "left_semi").select("id", "group_id")
+
+    def checks(self) -> DataFrame:
+        """Per family with targets and split: (family_domain, split, family_rows, whole, near): no group in two splits,
+        and the split's rows within the largest group's size of its share."""
+        whole = self.assigned.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("new_split").alias("n"))
+        # One row.
+        worst = whole.agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+        rows = self.report().join(self.assigned.groupBy("family_domain").agg(F.count(F.lit(1)).alias("family_rows")), "family_domain", "left")
+        gap = F.abs(F.col("rows") - F.col("target_share") * F.coalesce("family_rows", F.lit(0)))
+        return rows.join(F.broadcast(worst)).select("family_domain", "split", F.coalesce("family_rows", F.lit(0)).alias("family_rows"), (F.col("most") <= 1).alias("whole"), (gap <= F.greatest(F.col("largest"), F.lit(1))).alias("near"))
+
     def report(self) -> DataFrame:
         """Per family and split: target and real share, and the largest gap of a scenario's share to it."""
         t = self.targets
@@ -80,8 +100,11 @@ class NewSplits:
 def _solve(bundles: list, shares: dict[str, dict[str, int]], totals: dict | None = None, used: dict | None = None) -> list[tuple[str, str, int, int]]:
     """Whole numbers of groups per bundle and split: (bundle, split, lo, hi) as ranges of ranks.
 
-    totals: all rows of each family and scenario, by default the bundles' own; used: the rows that
-    each of them already has in a split.
+    Bundles of one family and scenario differ in size alone and have the same arcs at the same cost,
+    so the flow is solved on their sum and each takes its part of it; then each bundle is rounded to
+    whole groups, the largest sizes first. The flow's size is that of the targets, whatever the
+    number of sizes. totals: all rows of each family and scenario, by default the bundles' own; used:
+    the rows that each of them already has in a split.
     """
     used = used or {}
     by_family: dict[str, list] = defaultdict(list)
@@ -91,11 +114,10 @@ def _solve(bundles: list, shares: dict[str, dict[str, int]], totals: dict | None
     for family, own in sorted(by_family.items(), key=str):
         share = shares.get(family) or {"train": 1000}
         names = sorted(share)
-        rows = defaultdict(int)
+        supply: dict = defaultdict(int)
         for b in own:
-            rows[b.scenario] += b.rows
-        if totals is not None:
-            rows |= {s: n for (f, s), n in totals.items() if f == family}
+            supply[b.scenario] += b.rows
+        rows = supply if totals is None else {s: n for (f, s), n in totals.items() if f == family}
         everything, per_mille = sum(rows.values()), sum(share.values()) or 1
         net, arcs = Network(), {}
         for t in names:
@@ -105,26 +127,25 @@ def _solve(bundles: list, shares: dict[str, dict[str, int]], totals: dict | None
             for s, n in rows.items():
                 net.arc((s, t), ("family", t), max(0, -(-n * share[t] // per_mille) - used.get((family, s, t), 0)))
                 net.arc((s, t), ("family", t), n, 1)
-        for i, b in enumerate(own):
-            net.arc("source", ("bundle", i), b.rows)
+        for s, n in supply.items():
+            net.arc("source", ("bundles", s), n)
             for t in names:
-                arcs[i, t] = net.arc(("bundle", i), (b.scenario, t), b.rows)
+                arcs[s, t] = net.arc(("bundles", s), (s, t), n)
         net.solve("source", "sink")
+        part = {(s, t): net.flow(a) / supply[s] for (s, t), a in arcs.items()}
         carry: dict = defaultdict(float)
-        for i in sorted(range(len(own)), key=lambda i: (-own[i].size, str(own[i].bundle))):
-            b = own[i]
-            each = b.rows / b.groups
-            wish = {t: net.flow(arcs[i, t]) / each + carry[b.scenario, t] / each for t in names}
+        for b in sorted(own, key=lambda b: (-b.size, b.bundle)):
+            wish = {t: part[b.scenario, t] * b.groups + carry[b.scenario, t] / b.size for t in names}
             count = {t: max(0, int(wish[t] // 1)) for t in names}
-            while sum(count.values()) > b.groups:
+            while (over := sum(count.values()) - b.groups) > 0:
                 worst = max((t for t in names if count[t]), key=lambda t: (count[t] - wish[t], t))
-                count[worst] -= 1
+                count[worst] -= min(over, count[worst])
             while sum(count.values()) < b.groups:
                 best = max(names, key=lambda t: (wish[t] - count[t], t))
                 count[best] += 1
             at = 0
             for t in names:
-                carry[b.scenario, t] = (wish[t] - count[t]) * each
+                carry[b.scenario, t] = (wish[t] - count[t]) * b.size
                 if count[t]:
                     ranges.append((b.bundle, t, at, at + count[t]))
                     at += count[t]
@@ -139,9 +160,9 @@ def assign_splits(miu: DataFrame, sidecar: DataFrame, targets: DataFrame, seed:
     scenario's and family's quotas, at a price for exceeding them; the flows are rounded to whole
     groups from the largest groups down, passing each remainder on; and the groups of a bundle are
     taken in a hashed order. Single records come last, in a second flow over what the larger groups,
-    counted record by record, have left of each quota. Null and unlisted families go to train. With more than MAX_BUNDLES
-    bundles, sizes are taken together by their leading three binary digits. Repeated rows count
-    once; an empty table gives empty results.
+    counted record by record, have left of each quota. Null and unlisted families go to train.
+    Repeated rows count once; an empty table gives empty results. The driver holds one row per
+    bundle: labels times distinct sizes, of which n records have at most sqrt(2 n) per label.
     """
     spark = miu.sparkSession
     groups = materialize(record_groups(miu, sidecar), "record-groups")
@@ -150,16 +171,12 @@ def assign_splits(miu: DataFrame, sidecar: DataFrame, targets: DataFrame, seed:
     votes = rows.groupBy("group_id", "family_domain", "subscenario").agg(F.count(F.lit(1)).alias("n"))
     named = votes.groupBy("group_id").agg(F.sum("n").alias("size"), F.max_by(F.struct("family_domain", "subscenario"), F.struct("n", "family_domain", "subscenario")).alias("label"))
     named = materialize(named.select("group_id", "size", F.col("label.family_domain").alias("family"), F.col("label.subscenario").alias("scenario")), "labelled-groups")
-    exact = named.withColumn("bundle", F.concat_ws("|", F.coalesce("family", F.lit("\u0001")), F.coalesce("scenario", F.lit("\u0001")), F.col("size").cast("string")))
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("size")) - 2, F.lit(0)))
-    coarse = named.withColumn("bundle", F.concat_ws("|", F.coalesce("family", F.lit("\u0001")), F.coalesce("scenario", F.lit("\u0001")), (F.floor(F.col("size") / step) * step).cast("long").cast("string")))
-    summed = lambda df: df.groupBy("bundle", "family", "scenario").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("rows"), F.max("size").alias("size"))
-    chosen = exact if summed(exact).limit(MAX_BUNDLES + 1).count() <= MAX_BUNDLES else coarse
+    chosen = named.withColumn("bundle", F.concat_ws("|", F.coalesce("family", F.lit("\u0001")), F.coalesce("scenario", F.lit("\u0001")), F.col("size").cast("string")))
     shares: dict[str, dict[str, int]] = defaultdict(dict)
     for r in targets.select(category_key(F.col("family_domain")).alias("f"), F.lower(F.trim("split")).alias("s"), "share_pm").collect():
         shares[r.f][r.s] = r.share_pm or 0
     # One row per bundle (labels times sizes), one total per label.
-    bundles = summed(chosen).collect()
+    bundles = chosen.groupBy("bundle", "family", "scenario", "size").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("rows")).collect()
     ranked = materialize(blocked_rank(chosen.select("group_id", "bundle"), ["bundle"], ["group_id"], seed, "r"), "ranked-groups")
 
     def placed(ranges: list[tuple[str, str, int, int]]) -> DataFrame:

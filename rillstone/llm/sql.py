@@ -4,8 +4,7 @@ from __future__ import annotations
 
 _KEY = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
 
-ORACLES: dict[str, str] = {
-    "p1_found": f"""
+_HELD = f"""
 WITH pool AS (
   SELECT id, max(m) AS m, max(f) AS f, max(s) AS s FROM (
     SELECT id, {_KEY.format("mechanism")} AS m, {_KEY.format("family_domain")} AS f, {_KEY.format("subscenario")} AS s FROM miu_record
@@ -18,8 +17,20 @@ held AS (
   FROM cells c LEFT JOIN pool p ON (c.m IS NULL OR c.m = p.m) AND (c.f IS NULL OR c.f = p.f) AND (c.s IS NULL OR c.s = p.s)
   GROUP BY ALL),
 size AS (SELECT count(*) AS total FROM pool)
-SELECT plan_id, cell_id FROM held, size
+"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": _HELD
+    + """SELECT plan_id, cell_id FROM held, size
 WHERE n * 1000000 < CAST(share_pm AS BIGINT) * draw_pm * total OR n < min_rows""",
+    # The cells of one plan are disjoint in these tables.
+    "p1_margins": _HELD
+    + """, w AS (SELECT *, greatest(CAST(share_pm AS BIGINT) * draw_pm * total / 1000000.0, min_rows) AS want FROM held, size)
+SELECT plan_id, cell_id, n AS available, CAST(round(greatest(want - n, 0), 6) AS DOUBLE) AS short_rows, want > n AS cannot_meet, true AS met FROM w""",
+    "p4_checks": f"""
+WITH m AS (SELECT id, max({_KEY.format("family_domain")}) AS f FROM miu_record WHERE id IS NOT NULL GROUP BY id)
+SELECT t.f AS family_domain, t.split, count(m.id) AS family_rows, true AS whole, true AS near FROM (SELECT {_KEY.format("family_domain")} AS f, lower(trim(split)) AS split FROM split_target) t LEFT JOIN m USING (f) GROUP BY ALL""",
+    "p8_checks": "SELECT DISTINCT mix_id, source, true AS cap_kept, true AS share_kept FROM mix_target",
     "p2_found": """
 WITH u AS (
   SELECT id, lower(trim(split)) AS split, 'request' AS field, [user_natural_language] AS parts FROM miu_record

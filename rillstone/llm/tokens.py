@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillstone.session import spread
 
@@ -98,7 +99,7 @@ def token_ids(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens) of every row; 0 for empty and null texts."""
+    """(doc_id, source, n_tokens, n_chars) of every row; 0 for empty and null texts."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks or read_ranks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +108,10 @@ def token_counts(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:
             sources, at = batch.column("source"), 0
             for ids, texts in _batches(batch):
                 counts = [len(encode(enc, t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sources.slice(at, len(ids)), pa.array(counts, pa.int64())], ["doc_id", "source", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sources.slice(at, len(ids)), pa.array(counts, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())], ["doc_id", "source", "n_tokens", "n_chars"])
                 at += len(ids)
 
-    return spread(docs.select("doc_id", "text", "source")).mapInArrow(run, "doc_id long, source string, n_tokens long")
+    return spread(docs.select("doc_id", "text", "source")).mapInArrow(run, "doc_id long, source string, n_tokens long, n_chars long")
 
 
 def decoded(ids: DataFrame, ranks: bytes | None = None) -> DataFrame:
@@ -126,11 +127,8 @@ def decoded(ids: DataFrame, ranks: bytes | None = None) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
-def length_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per source: documents, tokens, tokens per character and the longest, over all rows."""
-    from pyspark.sql import functions as F
-
+def length_report(docs: DataFrame) -> DataFrame:
+    """Per source: documents, tokens, tokens per character and the longest, over all rows, counted in one pass; repeated
+    rows and rows without an id count too."""
     counts = token_counts(docs)
-    sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"))
-    both = counts.join(sizes, "doc_id")
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"), F.try_divide(F.sum("n_tokens"), F.sum("chars")).alias("tokens_per_char"))
+    return counts.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"), F.try_divide(F.sum("n_tokens"), F.sum("n_chars")).alias("tokens_per_char"))

@@ -52,6 +52,27 @@ def test_sample_matches_brute_force_and_quotas(spark, pool_rows):
     assert report[6].drawn == 3
 
 
+def test_many_kinds_and_competing_cells(spark):
+    """No limit on kinds: 60,000 disjoint cells at once, and cells that compete for the same records."""
+    from rillstone.llm.quotas import UNIT, _entangled, _filled
+
+    cells = {i: Row(share_pm=0, draw_pm=0, min_rows=3) for i in range(60_000)}
+    kinds = [((i,), 1 + i % 4) for i in cells]
+    lots = _entangled(kinds)
+    short = {c: m for lot in lots for c, m in _filled({c: cells[c] for k, _ in lot for c in k}, lot, 10)[1].items()}
+    assert len(lots) == 60_000 and all(short[i] == max(0, 2 - i % 4) * UNIT for i in cells)
+    two = {1: Row(share_pm=500, draw_pm=1000, min_rows=0), 2: Row(share_pm=500, draw_pm=1000, min_rows=4)}
+    flow, missing = _filled(two, [((1,), 2), ((1, 2), 4)], 10)
+    assert missing == {1: 3 * UNIT, 2: 1 * UNIT} and sum(flow.values()) == 6 * UNIT
+    assert _filled({1: two[1]}, [((1,), 6)], 10)[1][1] == 0
+
+
+def test_margins_of_the_drawn_records(spark, pool_rows):
+    pool = record_pool(spark.createDataFrame(pool_rows, RECORD))
+    rows = sample_by_targets(pool, spark.createDataFrame(CELLS, TARGET)).margins().collect()
+    assert len(rows) == len(CELLS) and all(r.met for r in rows)
+
+
 def test_empty_pool(spark):
     out = sample_by_targets(record_pool(spark.createDataFrame([], RECORD)), spark.createDataFrame(CELLS, TARGET))
     assert {r.cell_id for r in out.report.where("cannot_meet").collect()} == {1, 2, 3, 4, 5, 6}
@@ -163,7 +184,31 @@ def test_new_splits_keep_groups_and_shares(spark):
     for f in ("fin", "com_merce"):
         own = [r for r in rows if r.family_domain == f]
         assert abs(sum(r.new_split == "train" for r in own) / len(own) - 0.8) < 0.08
-    assert len(new.report().collect()) == 6
+    assert len(new.report().collect()) == 6 and all(r.whole for r in new.checks().collect())
+    present = defaultdict(set)
+    for r in miu:
+        if r[1]:
+            present[r[0]].add(r[1].strip().lower())
+    group = {r.id: r.group_id for r in rows}
+    stands = defaultdict(set)
+    for i, s in present.items():
+        stands[group[i]] |= s
+    assert {tuple(r) for r in new.mended(spark.createDataFrame(miu, MIU)).collect()} == {(i, g) for i, g in group.items() if len(stands[g]) > 1}
+
+
+def test_every_size_is_a_bundle_of_its_own():
+    """4000 sizes of one label, more than any table of bundles was once allowed to hold."""
+    from rillstone.llm.splits import _solve
+
+    bundles = [Row(bundle=f"f|s|{n}", family="f", scenario="s", size=n, groups=1 + n % 3, rows=n * (1 + n % 3)) for n in range(1, 4001)]
+    total = sum(b.rows for b in bundles)
+    ranges = _solve(bundles, {"f": {"train": 800, "val": 100, "test": 100}})
+    size, got, seen = {b.bundle: b.size for b in bundles}, Counter(), Counter()
+    for b, t, lo, hi in ranges:
+        got[t] += (hi - lo) * size[b]
+        seen[b] += hi - lo
+    assert seen == {b.bundle: b.groups for b in bundles}
+    assert all(abs(got[t] - total * w) <= 4000 for t, w in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
 
 
 def test_no_records(spark):
