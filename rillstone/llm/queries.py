@@ -103,8 +103,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p9_families(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_families(table(spark, d, "documents"))
+
+
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_margins, p2_found, p2_report, p3_found, p3_report, p4_found, p4_assignment, p4_report, p4_checks, p6_found, p6_groups, p7_ids, p7_lengths, p8_found, p8_report, p8_mix, p8_checks, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_margins, p2_found, p2_report, p3_found, p3_report, p4_found, p4_assignment, p4_report, p4_checks, p6_found, p6_groups, p7_ids, p7_lengths, p8_found, p8_report, p8_mix, p8_checks, p9_found, p9_families, p9_coverage)}

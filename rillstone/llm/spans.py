@@ -2,12 +2,16 @@
 
 A window is a run of `length` code points. Its minimiser is the least hash among its m-mers.
 Consecutive windows of a text that share a minimiser travel as one packed string (a
-super-k-mer) to the minimiser's bucket shard, where the windows are sorted by hash and equal
-ones counted, so each window of the corpus is sorted exactly once.
+super-k-mer) to the minimiser's partition, where the windows are sorted by hash and equal ones
+counted, so each window of the corpus is sorted exactly once. Equal hashes are confirmed on the
+characters of every window.
 
 Skew: equal super-k-mers of one map chunk collapse to one entry before the shuffle (their
-places travel apart, keyed by the entry), and the windows of minimisers with very many
-different entries go by their own 128-bit hash instead of the minimiser, spread over all shards.
+places travel apart, keyed by the entry). Partitions are sorted by minimiser and read as a
+stream; where one minimiser turns out to have more entries than a task should sort, its entries
+are cut anew by longer minimisers and go through another round. Equal windows agree in their
+minimisers of every length, so each round finds the same pairs, whatever the bound; the last
+round's minimiser is the window itself.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +30,30 @@ from rillstone.session import materialize, spread
 
 CHUNK = 1 << 20
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+#: A packed super-k-mer: text holds `off` .. of the entry (lid, doc, start), which stands in `docs` documents.
+PACKED = "m long, lid long, doc long, start long, off long, docs int, text binary"
+#: kind 0: a shared run; 1: a place of a collapsed entry; 2: a super-k-mer for the next round (family is its minimiser).
+FOUND = "kind int, family long, lid long, doc long, start long, off long, windows long, text binary"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
 
 
 @dataclass(frozen=True)
 class SpanSettings:
-    """length: least shared run in code points; mer: length of a minimiser; heavy: entries
-    beyond which a minimiser may count as heavy (it must also exceed 1/(64 shards) of all entries)."""
+    """length: least shared run in code points; mer: length of the first round's minimisers; heavy:
+    entries of one minimiser beyond which they are cut anew by longer ones (the result is the same)."""
 
     length: int = 230
     mer: int = 31
     heavy: int = 20_000
 
+    def mers(self) -> list[int]:
+        """The rounds' minimiser lengths; each halves what is missing to the window's length."""
+        out = [self.mer]
+        while out[-1] < self.length:
+            out.append((out[-1] + self.length + 1) // 2)
+        return out
+
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -45,7 +63,8 @@ def _prefix(c: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash, modulo 2**64."""
     up, _ = powers(len(c) + 1)
     values = mix(c.astype(np.uint64) + np.uint64(0x51))
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(c)], dtype=np.uint64)))
+    values *= up[: len(c)]
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
 
 
 def _hashes(sums: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -53,6 +72,12 @@ def _hashes(sums: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np
     return mix((sums[start + length] - sums[start]) * down[start])
 
 
+def _every_hash(sums: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of all stretches of one length."""
+    _, down = powers(len(sums) + 1)
+    return mix((sums[length:] - sums[:-length]) * down[: len(sums) - length])
+
+
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -85,29 +110,34 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], lis
         yield ids, texts, begins
 
 
-def super_kmers(ids: list[int], texts: list[str], begins: list[int], s: SpanSettings) -> dict[str, np.ndarray]:
-    """The super-k-mers of some texts: minimiser, doc, start in the text, length, place in the joined codes."""
-    c = np.concatenate([codes(t) for t in texts])
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+@dataclass
+class Cut:
+    """Super-k-mers of joined texts: whose text, place in the joined codes, number of windows, minimiser."""
+
+    text: np.ndarray
+    at: np.ndarray
+    windows: np.ndarray
+    least: np.ndarray
+
+
+def cut(sums: np.ndarray, size: np.ndarray, length: int, mer: int) -> Cut:
+    """The super-k-mers of texts of the given sizes, each of at least `length`, from their joined prefix sums."""
     begin = np.cumsum(size) - size
-    sums = _prefix(c)
-    mers = _hashes(sums, np.arange(len(c) - s.mer + 1), s.mer)
-    least = _sliding_min(mers, s.length - s.mer + 1)
-    doc = np.searchsorted(begin, np.arange(len(least)), "right") - 1
-    valid = np.arange(len(least)) + s.length <= (begin + size)[doc]
+    least = _sliding_min(_every_hash(sums, mer), length - mer + 1)
+    text = np.repeat(np.arange(len(size)), size)[: len(least)]
+    valid = np.arange(len(least)) + length <= np.repeat(begin + size, size)[: len(least)]
     fresh = np.ones(len(least), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
-    at = np.flatnonzero(fresh & valid)
-    group = np.cumsum(fresh & valid) - 1
-    windows = np.bincount(group[valid], minlength=len(at))
-    length = windows + s.length - 1
-    return {"codes": c, "sums": sums, "min": least[at], "doc": np.array(ids, np.int64)[doc[at]], "start": at - begin[doc[at]] + np.array(begins, np.int64)[doc[at]], "at": at, "len": length, "name": _hashes(sums, at, length)}
+    fresh[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
+    fresh &= valid
+    at = np.flatnonzero(fresh)
+    windows = np.bincount((np.cumsum(fresh) - 1)[valid], minlength=len(at))
+    return Cut(text[at], at, windows, least[at].view(np.int64))
 
 
-def _collapse(k: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _collapse(name: np.ndarray, length: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Equal super-k-mers as one entry: (first of each, entry of each, places, documents)."""
-    order = np.lexsort((k["start"], k["doc"], k["len"], k["name"]))
-    name, length, doc = k["name"][order], k["len"][order], k["doc"][order]
+    order = np.lexsort((start, doc, length, name))
+    name, length, doc = name[order], length[order], doc[order]
     new = np.concatenate(([True], (name[1:] != name[:-1]) | (length[1:] != length[:-1])))
     entry = np.cumsum(new) - 1
     new_doc = new | np.concatenate(([True], doc[1:] != doc[:-1]))
@@ -116,192 +146,219 @@ def _collapse(k: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order[new], which, np.bincount(entry), np.bincount(entry, weights=new_doc).astype(np.int64)
 
 
-def minimiser_counts(docs: DataFrame, s: SpanSettings) -> DataFrame:
-    """How many entries each minimiser gets: (m, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, begins in _pieces(batch, s.length):
-                k = super_kmers(ids, texts, begins, s)
-                m, n = np.unique(k["min"][_collapse(k)[0]].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
-
-    return docs.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
-
+def _byte_places(c: np.ndarray) -> np.ndarray:
+    """Where each code point begins in UTF-8."""
+    width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+    return np.concatenate(([0], np.cumsum(width)))
 
-def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
-    to = np.cumsum(size) - size
-    return raw[np.repeat(begin - to, size) + np.arange(int(size.sum()))].tobytes()
 
+def _packed(raw: bytes, byte_at: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.array([raw[a:b] for a, b in zip(byte_at[at].tolist(), byte_at[at + size].tolist())], pa.binary())
 
-def shared_windows(docs: DataFrame, s: SpanSettings) -> DataFrame:
-    """Runs of shared windows, and places of collapsed entries, written to the shared folder.
 
-    kind 0: (family, lid, doc, start, off, windows): windows `off` .. of an entry, all in the same
-    documents; `family` names those documents; lid 0 means the entry stands at doc, start alone.
-    kind 1: (lid, doc, start): a place of a collapsed entry.
+def super_kmers(ids: list[int], texts: list[str], begins: list[int], s: SpanSettings) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """The collapsed super-k-mers of some texts, packed, and the places of those that stand more than once."""
+    joined = "".join(texts)
+    c = codes(joined)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size) - size
+    sums = _prefix(c)
+    k = cut(sums, size, s.length, s.mer)
+    length = k.windows + s.length - 1
+    doc, start = np.array(ids, np.int64)[k.text], k.at - begin[k.text] + np.array(begins, np.int64)[k.text]
+    name = _hashes(sums, k.at, length)
+    first, entry, places, documents = _collapse(name, length, doc, start)
+    here = mix(np.array([ids[0], begins[0]], np.int64).view(np.uint64))
+    lid = np.where(places > 1, mix(name[first] ^ here[0] ^ (here[1] * SECOND) ^ length[first].astype(np.uint64)), np.uint64(0)).view(np.int64)
+    text = _packed(joined.encode("utf-8", "surrogatepass"), _byte_places(c), k.at[first], length[first])
+    whole = pa.RecordBatch.from_arrays([*map(pa.array, (k.least[first], lid, doc[first], start[first], np.zeros(len(first), np.int64), documents.astype(np.int32))), text], PACKED_NAMES)
+    shared = np.flatnonzero(places[entry] > 1)
+    if not len(shared):
+        return whole, None
+    # A place is a packed row without text, off its entry's way.
+    blank = np.zeros(len(shared), np.int64)
+    spots = pa.RecordBatch.from_arrays([*map(pa.array, (name[shared].view(np.int64), lid[entry[shared]], doc[shared], start[shared], blank, blank.astype(np.int32))), pa.nulls(len(shared), pa.binary())], PACKED_NAMES)
+    return whole, spots
+
+
+def _codes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The joined code points of packed texts, and how many each has."""
+    text = pa.concat_arrays([text])
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    if not len(raw) or raw.max() < 0x80:
+        return raw.astype(np.uint32), np.diff(offsets)
+    before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    return codes(raw.tobytes().decode("utf-8", "surrogatepass")), np.diff(before[offsets - offsets[0]])
+
+
+def _found(kind: int, family, lid, doc, start, off, windows, text: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(lid)
+    columns = [np.full(n, kind, np.int32), family, lid, doc, start, off, windows]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.int32 if i == 0 else np.int64)) for i, x in enumerate(columns)), pa.nulls(n, pa.binary()) if text is None else text], FOUND_NAMES)
+
+
+def _numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [rows.column(n).to_numpy() for n in names]
+
+
+def recut(rows: pa.RecordBatch, s: SpanSettings, mer: int) -> Iterator[pa.RecordBatch]:
+    """Entries cut anew by longer minimisers, for the next round."""
+    for lo in range(0, len(rows), 2048):
+        part = rows.slice(lo, 2048)
+        c, size = _codes_of(part.column("text"))
+        k = cut(_prefix(c), size, s.length, mer)
+        begin = np.cumsum(size) - size
+        lid, doc, start, off, docs = (x[k.text] for x in _numbers(part, "lid", "doc", "start", "off", "docs"))
+        raw = c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        yield _found(2, k.least, lid, doc, start, off + k.at - begin[k.text], docs, _packed(raw, _byte_places(c), k.at, k.windows + s.length - 1))
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)], PACKED_NAMES)
+
+
+def sorted_windows(batches: Iterator[pa.RecordBatch], s: SpanSettings, longer: int | None) -> Iterator[pa.RecordBatch]:
+    """Shared runs of packed rows that come in the order of their minimisers.
+
+    longer: the next round's minimiser length, for minimisers with more than `heavy` entries.
     """
-    spark, docs = docs.sparkSession, spread(docs)
-    shards = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = materialize(minimiser_counts(docs, s).where(F.col("n") > s.heavy / 4), "minimisers")
-    # At most 64 * shards minimisers can hold more than 1/(64 * shards) of the entries that repeat this often.
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    bar = max(s.heavy, total // (64 * shards))
-    heavy = np.sort(np.array([r.m for r in counts.where(F.col("n") > bar).select("m").collect()], np.int64).view(np.uint64))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, begins in _pieces(batch, s.length):
-                k = super_kmers(ids, texts, begins, s)
-                first, entry, places, documents = _collapse(k)
-                lid = np.where(places > 1, mix(k["name"][first] ^ mix(np.full(len(first), ids[0], np.int64).view(np.uint64)) ^ k["len"][first].astype(np.uint64)), np.uint64(0))
-                rows: dict[str, list] = {"kind": [], "shard": [], **{f"c{i}": [] for i in range(7)}}
-
-                def put(kind: int, shard: int, *blobs: bytes) -> None:
-                    rows["kind"].append(kind)
-                    rows["shard"].append(shard)
-                    for i in range(7):
-                        rows[f"c{i}"].append(blobs[i] if i < len(blobs) else b"")
-
-                shared = np.flatnonzero(places[entry] > 1)
-                if len(shared):
-                    put(1, int(ids[0] % shards), lid[entry[shared]].tobytes(), k["doc"][shared].tobytes(), k["start"][shared].astype(np.int64).tobytes())
-                m = k["min"][first]
-                hot = np.isin(m, heavy) if len(heavy) else np.zeros(len(m), bool)
-                raw = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-                c = k["codes"]
-                width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-                byte_at = np.concatenate(([0], np.cumsum(width)))
-                shard = (m % np.uint64(shards)).astype(np.int64)
-                cold = np.flatnonzero(~hot)
-                cold = cold[np.lexsort((m[cold], shard[cold]))]
-                cut = np.searchsorted(shard[cold], np.arange(shards + 1))
-                for p in range(shards):
-                    e = cold[cut[p] : cut[p + 1]]
-                    if len(e):
-                        f = first[e]
-                        b0, b1 = byte_at[k["at"][f]], byte_at[k["at"][f] + k["len"][f]]
-                        put(0, p, m[e].tobytes(), np.stack((k["len"][f], b1 - b0)).astype(np.int32).tobytes(), lid[e].tobytes(), k["doc"][f].tobytes(), k["start"][f].astype(np.int64).tobytes(), documents[e].astype(np.int32).tobytes(), _gather(raw, b0, b1 - b0))
-                e = np.flatnonzero(hot)
-                if len(e):
-                    f = first[e]
-                    n = k["len"][f] - s.length + 1
-                    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    h1 = _hashes(k["sums"], np.repeat(k["at"][f], n) + off, s.length)
-                    other = _prefix(c ^ np.uint32(0x5BD1E995))
-                    h2 = _hashes(other, np.repeat(k["at"][f], n) + off, s.length)
-                    to = (h1 % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    cut = np.searchsorted(to[order], np.arange(shards + 1))
-                    each = np.repeat(e, n)
-                    for p in range(shards):
-                        w = order[cut[p] : cut[p + 1]]
-                        if len(w):
-                            g = first[each[w]]
-                            put(2, p, h1[w].tobytes(), h2[w].tobytes(), lid[each[w]].tobytes(), k["doc"][g].tobytes(), off[w].astype(np.int64).tobytes(), k["start"][g].astype(np.int64).tobytes(), documents[each[w]].astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["shard"], pa.int32()), *(pa.array(rows[f"c{i}"], pa.binary()) for i in range(7))], list(rows))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for kind, shard, *blobs in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 1:
-                    lid, doc, start = (np.frombuffer(x, np.int64) for x in blobs[:3])
-                    yield _batch(np.ones(len(lid), np.int32), np.zeros(len(lid), np.int64), lid, doc, start, np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64))
-                    continue
-                if (kind, shard) != now and held:
-                    yield from _sorted(now[0], held, s)
-                    held = []
-                now = (kind, shard)
-                held.append(blobs)
-        if held:
-            yield from _sorted(now[0], held, s)
-
-    packed = docs.mapInArrow(pack, "kind int, shard int, " + ", ".join(f"c{i} binary" for i in range(7)))
-    counted = packed.repartition("shard").sortWithinPartitions("kind", "shard").mapInArrow(count, "kind int, family long, lid long, doc long, start long, off long, windows long")
-    return materialize(counted, "spans")
-
-
-def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "family", "lid", "doc", "start", "off", "windows"])
-
-
-def _sorted(kind: int, held: list[list[bytes]], s: SpanSettings) -> Iterator[pa.RecordBatch]:
-    """Sort one shard's windows and give the shared runs."""
-    if kind == 2:
-        h1, h2 = (np.frombuffer(b"".join(b[i] for b in held), np.uint64) for i in (0, 1))
-        lid, doc, off, start = (np.frombuffer(b"".join(b[i] for b in held), np.int64) for i in (2, 3, 4, 5))
-        ndocs = np.frombuffer(b"".join(b[6] for b in held), np.int32)
-        _, entry = np.unique(np.stack((lid, doc, start), 1), axis=0, return_inverse=True)
-        yield from _runs(mix(h1) ^ h2 * SECOND, entry.ravel(), off, lid, doc, start, ndocs)
-        return
-    m = np.frombuffer(b"".join(b[0] for b in held), np.uint64)
-    sizes = np.concatenate([np.frombuffer(b[1], np.int32).reshape(2, -1) for b in held], 1).astype(np.int64)
-    lid, doc, start = (np.frombuffer(b"".join(b[i] for b in held), np.int64) for i in (2, 3, 4))
-    ndocs = np.frombuffer(b"".join(b[5] for b in held), np.int32)
-    raw = np.frombuffer(b"".join(b[6] for b in held), np.uint8)
-    byte_at = np.cumsum(sizes[1]) - sizes[1]
-    _, which, often = np.unique(m, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero((often[which.ravel()] > 1) | (ndocs > 1))
-    keep = keep[np.argsort(m[keep], kind="stable")]
-    # Chunks of whole minimisers with bounded text; a minimiser of more text than that is sorted alone.
+    held: list[pa.RecordBatch] = []
+    hot, size = None, 0
+    for batch in batches:
+        if batch.column("text").null_count:
+            spots = batch.filter(pc.is_null(batch.column("text")))
+            lid, doc, start = _numbers(spots, "lid", "doc", "start")
+            none = np.zeros(len(lid), np.int64)
+            yield _found(1, none, lid, doc, start, none, none)
+            batch = batch.filter(pc.is_valid(batch.column("text")))
+        if hot is not None and len(batch):
+            upto = int(np.searchsorted(batch.column("m").to_numpy(), hot, "right"))
+            if upto:
+                yield from recut(batch.slice(0, upto), s, longer)
+            batch = batch.slice(upto)
+            if len(batch):
+                hot = None
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size < CHUNK:
+            continue
+        whole = _joined(held)
+        m = whole.column("m").to_numpy()
+        last = int(np.searchsorted(m, m[-1], "left"))
+        yield from _complete(whole.slice(0, last), s)
+        tail = whole.slice(last)
+        held, size = [tail], 0
+        if longer and len(tail) > s.heavy:
+            yield from recut(tail, s, longer)
+            hot, held = m[-1], []
+    if held:
+        whole = _joined(held)
+        m = whole.column("m").to_numpy()
+        many = np.zeros(len(m), bool)
+        if longer:  # small partitions end before their size was looked at
+            _, which, often = np.unique(m, return_inverse=True, return_counts=True)
+            many = (often > s.heavy)[which.ravel()]
+        if many.any():
+            yield from recut(whole.filter(pa.array(many)), s, longer)
+            whole = whole.filter(pa.array(~many))
+        yield from _complete(whole, s)
+
+
+def _complete(rows: pa.RecordBatch, s: SpanSettings) -> Iterator[pa.RecordBatch]:
+    """The shared runs among all entries of some minimisers, in chunks of whole minimisers with bounded text."""
+    m, docs = _numbers(rows, "m", "docs")
+    same = m[1:] == m[:-1]
+    keep = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])) | (docs > 1)) if len(m) else []
     lo = 0
     while lo < len(keep):
-        upto = np.cumsum(sizes[0][keep[lo : lo + 100_000]])
-        hi = lo + max(1, int(np.searchsorted(upto, CHUNK, "right")))
+        hi = min(len(keep), lo + max(1, CHUNK // (2 * s.length)))
         while hi < len(keep) and m[keep[hi]] == m[keep[hi - 1]]:
             hi += 1
-        e = keep[lo:hi]
+        e = rows.take(pa.array(keep[lo:hi]))
         lo = hi
-        c = codes(_gather(raw, byte_at[e], sizes[1][e]).decode("utf-8", "surrogatepass"))
-        at = np.cumsum(sizes[0][e]) - sizes[0][e]
-        n = sizes[0][e] - s.length + 1
-        off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(np.arange(len(e)), n)
-        h = _hashes(_prefix(c), at[entry] + off, s.length)
-        yield from _runs(h, entry, off, lid[e][entry], doc[e][entry], start[e][entry], ndocs[e][entry], (c, at, s.length))
-
-
-def _runs(h, entry, off, lid, doc, start, ndocs, text=None) -> Iterator[pa.RecordBatch]:
-    """Windows that stand in two documents or more, as runs of one entry with one set of documents."""
-    order = np.argsort(h, kind="stable")
+        c, size = _codes_of(e.column("text"))
+        at = np.cumsum(size) - size
+        n = size - s.length + 1
+        entry = np.repeat(np.arange(len(n)), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + at[entry]
+        yield from _runs(c, _every_hash(_prefix(c), s.length)[place], entry, place, at, e, s.length)
+
+
+def _runs(c: np.ndarray, h: np.ndarray, entry: np.ndarray, place: np.ndarray, at: np.ndarray, e: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Windows that stand in two documents or more, as runs of one entry with one set of documents.
+
+    h: a name of each window. Where two windows of one name differ, which the comparison of every
+    window with its group's first shows, the names are made anew from the characters.
+    """
+    lid, doc, start, first_off, docs = _numbers(e, "lid", "doc", "start", "off", "docs")
+    order = np.argsort(h)
     sorted_h = h[order]
     new = np.concatenate(([True], sorted_h[1:] != sorted_h[:-1]))
     group = np.cumsum(new) - 1
-    more = np.bincount(group)[group] > 1
-    many = np.zeros(int(group[-1]) + 1, bool) if len(group) else np.zeros(0, bool)
-    many[group[ndocs[order] > 1]] = True
-    first = order[new]
-    differs = doc[order] != doc[first][group]
-    many[group[more & differs]] = True
-    take = np.flatnonzero(many[group])
+    own = entry[order]
+    several = np.zeros(int(group[-1]) + 1, bool)
+    several[group[docs[own] > 1]] = True
+    several[group[doc[own] != doc[own[new]][group]]] = True
+    take = np.flatnonzero(several[group])
     if not len(take):
         return
     w, g = order[take], group[take]
-    who = np.where(lid[w] != 0, lid[w], doc[w])
+    lead = order[new][g]
+    who = np.where(lid[entry[w]] != 0, lid[entry[w]], doc[entry[w]])
     by = np.lexsort((who, g))
-    w, g, who = w[by], g[by], who[by]
-    fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (who[1:] != who[:-1])))
-    begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    names = np.where(fresh, mix(who.view(np.uint64) ^ SECOND), np.uint64(0))
-    family = mix(np.add.reduceat(names, begin, dtype=np.uint64)).view(np.int64)
-    size = np.diff(np.concatenate((begin, [len(g)])))
-    family, lead = np.repeat(family, size), np.repeat(w[begin], size)
-    by = np.lexsort((off[w], entry[w]))
+    sg, sw = g[by], who[by]
+    first = np.concatenate(([True], sg[1:] != sg[:-1]))
+    fresh = first | np.concatenate(([True], sw[1:] != sw[:-1]))
+    names = np.where(fresh, mix(sw.view(np.uint64) ^ SECOND), np.uint64(0))
+    family = np.empty(len(w), np.int64)
+    family[by] = np.repeat(mix(np.add.reduceat(names, np.flatnonzero(first), dtype=np.uint64)).view(np.int64), np.diff(np.concatenate((np.flatnonzero(first), [len(sg)]))))
+    by = np.argsort(place[w])  # by entry and offset
     w, family, lead = w[by], family[by], lead[by]
-    joins = (entry[w][1:] == entry[w][:-1]) & (off[w][1:] == off[w][:-1] + 1) & (family[1:] == family[:-1])
-    begin = np.flatnonzero(np.concatenate(([True], ~joins)))
-    size = np.diff(np.concatenate((begin, [len(w)])))
-    good = np.ones(len(begin), bool)
-    if text is not None:  # equal hashes are confirmed on the characters at both ends of a run
-        c, at, length = text
-        for i in range(len(begin)):
-            for j in (begin[i], begin[i] + size[i] - 1):
-                x, y = at[entry[w[j]]] + off[w[j]], at[entry[lead[j]]] + off[lead[j]]
-                if x != y and not np.array_equal(c[x : x + length], c[y : y + length]):
-                    good[i] = False
-    v, begin, size = w[begin][good], begin[good], size[good]
-    yield _batch(np.zeros(len(v), np.int32), family[begin], lid[v], doc[v], start[v], off[v].astype(np.int64), size.astype(np.int64))
+    go_on = (entry[w][1:] == entry[w][:-1]) & (place[w][1:] == place[w][:-1] + 1)
+    # Stretches whose firsts go on side by side are compared as a whole.
+    together = go_on & (entry[lead][1:] == entry[lead][:-1]) & (place[lead][1:] == place[lead][:-1] + 1)
+    b = np.flatnonzero(np.concatenate(([True], ~together)))
+    upto = np.concatenate((b[1:], [len(w)])) - 1
+    for x, y, z in zip(place[w[b]].tolist(), place[lead[b]].tolist(), (place[w[upto]] + length).tolist()):
+        if x != y and not np.array_equal(c[x:z], c[y : y + z - x]):
+            known: dict[bytes, int] = {}
+            exact = np.array([known.setdefault(c[p : p + length].tobytes(), len(known)) for p in place.tolist()], np.uint64)
+            yield from _runs(c, exact, entry, place, at, e, length)
+            return
+    b = np.flatnonzero(np.concatenate(([True], ~(go_on & (family[1:] == family[:-1])))))
+    v = entry[w[b]]
+    yield _found(0, family[b], lid[v], doc[v], start[v], first_off[v] + place[w[b]] - at[v], np.diff(np.concatenate((b, [len(w)]))))
+
+
+def shared_windows(docs: DataFrame, s: SpanSettings) -> DataFrame:
+    """Runs of shared windows, and places of collapsed entries, written to the shared folder.
+
+    kind 0: (family, lid, doc, start, off, windows): windows `off` .. of an entry, all in the same
+    documents; `family` names those documents; lid 0 means the entry stands at doc, start alone.
+    kind 1: (lid, doc, start): a place of a collapsed entry.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, begins in _pieces(batch, s.length):
+                yield from filter(None, super_kmers(ids, texts, begins, s))
+
+    mers, found = s.mers(), []
+    packed = spread(docs).mapInArrow(pack, PACKED)
+    for longer in [*mers[1:], None]:
+        count = lambda batches, longer=longer: sorted_windows(batches, s, longer)
+        found.append(materialize(packed.repartition("m").sortWithinPartitions("m").mapInArrow(count, FOUND), "spans"))
+        more = found[-1].where("kind = 2")
+        if more.isEmpty():
+            break
+        packed = more.select(F.col("family").alias("m"), "lid", "doc", "start", "off", F.col("windows").cast("int").alias("docs"), "text")
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionAll(f)
+    return whole.where("kind != 2").drop("text")
 
 
 def placed_runs(found: DataFrame) -> DataFrame:
@@ -313,6 +370,13 @@ def placed_runs(found: DataFrame) -> DataFrame:
     return own.unionAll(spread.select("family", "doc_id", (F.col("place") + F.col("off")).alias("start"), "windows"))
 
 
+def sharing_families(docs: DataFrame, settings: SpanSettings = SpanSettings()) -> DataFrame:
+    """(family, doc_id): documents that all hold a common run of at least `length` code points; linear in the shared
+    text where pairs are quadratic. A document stands in one family for each set of documents it shares a run with."""
+    runs = placed_runs(shared_windows(docs.select("doc_id", "text"), settings))
+    return runs.select("family", "doc_id").distinct()
+
+
 def sharing_pairs(docs: DataFrame, settings: SpanSettings = SpanSettings()) -> DataFrame:
     """Pairs of documents with a common run of at least `length` code points: (doc_id_1, doc_id_2).
 
@@ -320,8 +384,7 @@ def sharing_pairs(docs: DataFrame, settings: SpanSettings = SpanSettings()) -> D
     document count once; very long texts are cut nowhere. An empty table gives no pair. Other
     columns are ignored.
     """
-    runs = placed_runs(shared_windows(docs.select("doc_id", "text"), settings))
-    holders = materialize(runs.select("family", "doc_id").distinct(), "holders")
+    holders = materialize(sharing_families(docs, settings), "holders")
     x, y = holders.select("family", F.col("doc_id").alias("doc_id_1")), holders.select("family", F.col("doc_id").alias("doc_id_2"))
     return x.join(y, "family").where("doc_id_1 < doc_id_2").select("doc_id_1", "doc_id_2").distinct()
 

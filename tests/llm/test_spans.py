@@ -1,4 +1,4 @@
-"""Shared spans against brute force, also with every minimiser treated as heavy."""
+"""Shared spans against brute force, also with minimisers cut anew through all rounds."""
 
 import random
 
@@ -25,7 +25,7 @@ def windows(text):
     return {text[i : i + N] for i in range(len(text or "") - N + 1)} if text else set()
 
 
-@pytest.mark.parametrize("heavy", [20_000, 1])
+@pytest.mark.parametrize("heavy", [20_000, 3, 1])
 def test_pairs_and_coverage_equal_brute_force(spark, heavy):
     docs = corpus()
     df = spark.createDataFrame([Row(doc_id=i, text=t, windows="clash", lid=3) for i, t in docs] + [Row(doc_id=docs[3][0], text=docs[3][1], windows="", lid=0), Row(doc_id=None, text=docs[1][1], windows="", lid=0)])
@@ -70,3 +70,58 @@ def test_segments_of_very_long_texts(monkeypatch):
         starts = sorted(b + k for j, t, b in seen if j == i for k in range(len(t) - N + 1))
         assert starts == list(range(len(whole) - N + 1))
         assert all(whole[b : b + len(t)] == t for j, t, b in seen if j == i)
+
+
+def found_pairs(docs, s, chunk=500):
+    """The operator's stages on Arrow batches alone: pairs of documents of one family."""
+    import pyarrow as pa
+
+    from rillstone.llm import spans
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    packed = [x for p in spans._pieces(batch, s.length) for x in spans.super_kmers(*p, s) if x is not None]
+    rows, rounds = [], 0
+    for longer in [*s.mers()[1:], None]:
+        sent = pa.Table.from_batches(packed).sort_by("m").to_batches(max_chunksize=chunk)
+        out = pa.Table.from_batches(list(spans.sorted_windows(iter(sent), s, longer)), pa.schema([(n, pa.binary() if n == "text" else pa.int32() if n == "kind" else pa.int64()) for n in spans.FOUND_NAMES])).to_pylist()
+        rows += out
+        more = [r for r in out if r["kind"] == 2]
+        if not more:
+            break
+        rounds += 1
+        packed = pa.Table.from_pydict({"m": [r["family"] for r in more], **{n: [r[n] for r in more] for n in ("lid", "doc", "start", "off")}, "docs": pa.array([r["windows"] for r in more], pa.int32()), "text": pa.array([r["text"] for r in more], pa.binary())}).to_batches()
+    at = {}
+    for r in rows:
+        if r["kind"] == 1:
+            at.setdefault(r["lid"], set()).add(r["doc"])
+    holders = {}
+    for r in rows:
+        if r["kind"] == 0:
+            holders.setdefault(r["family"], set()).update(at[r["lid"]] if r["lid"] else {r["doc"]})
+    return {(a, b) for ds in holders.values() for a in ds for b in ds if a < b}, rounds
+
+
+def test_one_minimiser_in_a_third_of_the_documents():
+    """Boilerplate with other text around it: its minimisers are cut anew in every round, and nothing is lost."""
+    rng = random.Random(12)
+    new = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    plate = new(N - 4)  # below the length: shared only with some of the text around it
+    docs = [(i, new(60) + (rng.choice("xy") + plate + rng.choice("xyz") + new(3) if i % 3 == 0 else new(50)) + new(60)) for i in range(240)]
+    own = {i: windows(t) for i, t in docs}
+    want = {(a, b) for a in own for b in own if a < b and own[a] & own[b]}
+    for heavy, chunk in ((20_000, 500), (10, 500), (10, 7)):
+        got, rounds = found_pairs(docs, SpanSettings(length=N, mer=9, heavy=heavy), chunk)
+        assert got == want, heavy
+        assert rounds == 0 if heavy > 1000 else rounds > 1
+
+
+def test_colliding_hashes_change_nothing(monkeypatch):
+    """With hashes of 6 bits nearly all windows collide, and the characters decide."""
+    from rillstone.llm import spans
+
+    docs = corpus()[:30]
+    real = spans._every_hash
+    own = {i: windows(t) for i, t in docs}
+    want = {(a, b) for a in own for b in own if a < b and own[a] & own[b]}
+    monkeypatch.setattr(spans, "_every_hash", lambda sums, length: real(sums, length) & spans.np.uint64(63) if length == N else real(sums, length))
+    assert found_pairs(docs, SpanSettings(length=N, mer=9))[0] == want
