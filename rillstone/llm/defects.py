@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -48,6 +49,8 @@ def strip_invisible(text: str) -> str:
 
 def visible_text(response: str) -> tuple[str, bool]:
     """What a reader sees, and whether a thinking block was never closed."""
+    if "<" not in response:
+        return strip_invisible(response), False
     text = _BLOCK.sub("", response)
     opened = _OPEN.search(text)
     unclosed = opened is not None
@@ -78,16 +81,18 @@ _SCRIPTS = {
     "zh": regex.compile(r"\p{Han}"), "ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "ko": regex.compile(r"\p{Hangul}"), "ru": regex.compile(r"\p{Cyrillic}"),
     "ar": regex.compile(r"\p{Arabic}"), "el": regex.compile(r"\p{Greek}"), "he": regex.compile(r"\p{Hebrew}"), "hi": regex.compile(r"\p{Devanagari}"), "th": regex.compile(r"\p{Thai}"),
 }
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _ASCII_LETTERS = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 
 
 def language_scores(text: str) -> dict[str, float]:
     """Evidence per language: function words of Latin scripts, and half the characters of others."""
-    scores = {k: 0.0 for k in _SETS}
-    for w in _LETTERS.findall(text.lower()):
-        for k in _LANGUAGES_OF.get(w, ()):
-            scores[k] += 1
-    if not text.isascii():
+    scores = dict.fromkeys(_SETS, 0.0)
+    lower = text.lower()
+    for w in (_ASCII_LETTERS if lower.isascii() else _LETTERS).findall(lower):
+        if w in _LANGUAGES_OF:
+            for k in _LANGUAGES_OF[w]:
+                scores[k] += 1
+    if not text.isascii() and max(text) >= "\u0370":  # below stand Latin letters only
         for k, p in _SCRIPTS.items():
             n = len(p.findall(text))
             if n:
@@ -97,9 +102,13 @@ def language_scores(text: str) -> dict[str, float]:
     return scores
 
 
-def language_of(text: str, least: float = 2.0, lead: float = 1.5) -> str | None:
+def language_of(text: str) -> str | None:
     """The language with the most evidence; None where it is thin or a second one is close."""
-    ranked = sorted(language_scores(text).items(), key=lambda kv: (-kv[1], kv[0]))
+    return leader(language_scores(text))
+
+
+def leader(scores: dict[str, float], least: float = 2.0, lead: float = 1.5) -> str | None:
+    ranked = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
     (best, n), (_, m) = ranked[0], ranked[1]
     return best if n >= least and n >= lead * m else None
 
@@ -116,12 +125,15 @@ _PROTOCOL = re.compile(r"^[*\s]*(?:decision|reason)\s*:\s*(?:\**\s*(?:[a-c]|none
 
 def other_language(prompt: str, response: str) -> bool:
     """Whether the response's prose, without quotations and line labels, is in another language."""
-    prose = _PROTOCOL.sub(" ", _QUOTED.sub(" ", response))
-    got, asked = language_of(prose), prompt_language(prompt)
-    if not got or not asked or got == asked:
+    asked = prompt_language(prompt)
+    if not asked:
         return False
+    prose = _QUOTED.sub(" ", response) if any(q in response for q in "\"“„«") else response
+    if ":" in prose or "[" in prose:
+        prose = _PROTOCOL.sub(" ", prose)
     own = language_scores(prose)
-    return own[got] >= 2 * own.get(asked, 0.0)
+    got = leader(own)
+    return got is not None and got != asked and own[got] >= 2 * own.get(asked, 0.0)
 
 
 # --- refusals ------------------------------------------------------------------------------
@@ -147,7 +159,46 @@ REFUSALS = {
     "pt": (r"\bnão (?:posso|poderei|devo|vou) (?:\w+ ){0,2}(?:ajudar|responder|escrever|escolher|decidir|continuar|fazer)", r"\btenho de (?:recusar|declinar)"),
     "zh": (r"(?:无法|不能|不便|不会|不可以|恕不|恕难)(?:为您|为你|就此|对此|再|继续)?(?:协助|帮助|帮忙|回答|回复|提供|继续|撰写|代写|完成|处理|选择|参与|从命)", r"(?:拒绝|谢绝)(?:回答|回复|协助|此|这|该)", r"(?:准则|规定|政策)[^。]{0,12}(?:不允许|禁止|不许)"),
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.I)
+#: What a text must hold, in lower case, for the phrases above to be worth looking for, in their order.
+STEMS = {
+    "en": (
+        "can't cannot cant can|not could|not couldn't won't will|not unable|to able|to not|going position|to willing|to decline refuse rather|not prefer|not not|allowed not|permitted not|comfortable wrong not|right inappropriate",
+        "decline refuse", "back|from back|of away|from away|of aside|from aside|of out|from out|of down|from down|of", "guideline policy policies principles rules instructions training", "something",
+        "be|given be|made be|offered be|written be|provided", "outside beyond", "no|part is|refused is|declined count|me am|out i'm|out",
+    ),
+    "de": ("helfen antworten schreiben verfassen entscheiden erfüllen übernehmen unterstützen tun geben", "ablehnen", "lehne", "richtlinien"),
+    "es": ("no|p no|d no|v no|q no|me no|e", "declinar rechazar negarme", "niego", "normas directrices politica política"),
+    "fr": ("je|ne", "décliner refuser", "refuse décline", "règles consignes directives", "impossible"),
+    "it": ("non|p non|d non|v", "declinare rifiutare"),
+    "pt": ("não|p não|d não|v", "recusar declinar"),
+    "zh": ("无法 不能 不便 不会 不可以 恕不 恕难", "拒绝 谢绝", "准则 规定 政策"),
+}
+_PHRASES = [re.compile(p, re.I) for ps in REFUSALS.values() for p in ps]
+
+
+def _stem_automaton() -> ahocorasick.Automaton:
+    """Finds the stems in one scan; each says which phrases it may belong to."""
+    of: dict[str, set[int]] = {}
+    for i, stems in enumerate(x for lists in STEMS.values() for x in lists):
+        for stem in stems.split():
+            of.setdefault(stem.replace("|", " "), set()).add(i)
+    found = ahocorasick.Automaton()
+    for stem, which in of.items():
+        found.add_word(stem, tuple(which))
+    found.make_automaton()
+    return found
+
+
+_STEMS = _stem_automaton()
+
+
+def first_refusal(sentence: str) -> re.Match | None:
+    """The leftmost refusing phrase; only phrases whose stem stands in the text are looked for."""
+    which = {i for _, found in _STEMS.iter(sentence.lower()) for i in found}
+    hits = [m for i in sorted(which) if (m := _PHRASES[i].search(sentence))]
+    return min(hits, key=lambda m: m.start()) if hits else None
+
+
 #: What a sentence after a refusal says when it carries nothing.
 _CLOSING = re.compile(
     r"hope (?:you|this|that)|understand|consult|professional|qualified|expert|another (?:tool|service|person|source)|someone else|suit you|anything else|something (?:different|else)|let me know|leave it (?:there|at that)|leave (?:this|that|it)\b|thank|sorry|apolog|regret|unfortunately|feel free|reach out|best wishes|kind regards|sincerely|verständnis|fachmann|fachperson|comprensión|profesional|compréhension|professionnel|谅解|理解|咨询|专业",
@@ -162,11 +213,11 @@ def is_refusal(text: str) -> bool:
     """Whether the text declines its task. Withholding one point while going on is none: a refusing
     clause must not turn to an offer, and the other sentences must not carry the task on."""
     plain = text.replace("’", "'").replace("`", "'")
-    if not _REFUSAL.search(plain):
+    if not first_refusal(plain):
         return False
     declined, carried = False, 0
     for s in filter(None, (x.strip() for x in _SENTENCE.split(plain))):
-        m = _REFUSAL.search(s)
+        m = first_refusal(s)
         words = len(s.split()) if s.isascii() or " " in s else len(s) // 2
         if m and not _turns_to_offer(s[m.end() :]):
             declined = True
@@ -182,32 +233,38 @@ def _turns_to_offer(rest: str) -> bool:
 
 # --- copies --------------------------------------------------------------------------------
 
-_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]+")
+_TOKEN, _ASCII_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]+"), re.compile("[a-z0-9]+")
 
 
 def plain_words(text: str) -> list[str]:
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower())
     return _TOKEN.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 class Prompt:
-    """A prompt's words and the zstandard dictionary made of them."""
+    """A prompt's words and the zstandard dictionary made of them when it is first asked for."""
 
     def __init__(self, text: str):
         self.words = plain_words(text)
+        self.own = frozenset(self.words)
         self.joined = f" {' '.join(self.words)} "
-        raw = " ".join(self.words).encode()
         self.known: dict[int, set[tuple[str, ...]]] = {}
-        self.compressor, self.frame = None, 0
-        if len(raw) >= 8:
-            book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            wide = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.compressor = zstandard.ZstdCompressor(dict_data=book, compression_params=wide)
-            self.frame = len(self.compressor.compress(b""))
+        self.compressor: zstandard.ZstdCompressor | None = None
+        self.frame = 0
 
     def ratio(self, words: list[str]) -> float:
         """Compressed size of the words with the prompt as dictionary, without the frame, per byte."""
-        raw = " ".join(words).encode()
-        return (len(self.compressor.compress(raw)) - self.frame) / len(raw) if self.compressor and raw else 1.0
+        raw, book = " ".join(words).encode(), self.joined[1:-1].encode()
+        if len(book) < 8 or not raw:
+            return 1.0
+        if self.compressor is None:
+            # The window reaches over the whole prompt and the response.
+            wide = max(20, min(zstandard.WINDOWLOG_MAX, (len(book) + len(raw)).bit_length()))
+            how = zstandard.ZstdCompressionParameters.from_level(3, window_log=wide, write_content_size=False, write_checksum=False, write_dict_id=False)
+            self.compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            self.frame = len(self.compressor.compress(b""))
+        return (len(self.compressor.compress(raw)) - self.frame) / len(raw)
 
     def covered(self, words: list[str], run: int) -> int:
         """How many words stand in stretches of at least `run` words that the prompt holds too."""
@@ -229,6 +286,10 @@ def is_copy(prompt: Prompt, text: str, ratio: float = 0.6, share: float = 0.75,
     words = plain_words(text)
     if len(words) < least:
         return False
+    # What runs can cover is at most what the prompt's words hold at all.
+    held = len([w for w in words if w in prompt.own])
+    if held < share * len(words) and (held < 12 or len(words) - held > 6):
+        return False
     if f" {' '.join(words)} " in prompt.joined:
         return True
     if prompt.ratio(words) > ratio:
@@ -240,28 +301,31 @@ def is_copy(prompt: Prompt, text: str, ratio: float = 0.6, share: float = 0.75,
 # --- endings -------------------------------------------------------------------------------
 
 _END = ".!?。！？…"
+_SENTENCES_BEFORE = re.compile(r".*(?:[.!?。！？]\s+|。)", re.S)
+_LABEL, _CITED, _DECISION = re.compile(r"[*\s]*([A-Za-z]{4,12}):"), re.compile(r"\[E\d+\]\.?$"), re.compile(r"^[*\s]*decision\s*:", re.I | re.M)
 
 
 def ending_features(raw: str, text: str) -> list[str]:
     """The terminal context of a response."""
     line = text.rsplit("\n", 1)[-1].strip()
-    before = text.rsplit("\n", 2)
-    previous = before[-2].strip() if len(before) > 1 else ""
+    lines = text.rsplit("\n", 2)
+    previous = lines[-2].strip() if len(lines) > 1 else ""
     stripped = line.rstrip("*_\"'”’)»")
     last = stripped[-1:] or "none"
     kind = last if not last.isalnum() else "digit" if last.isdigit() else "letter"
-    tail = re.split(r"[.!?。！？]\s+|。", stripped.rstrip(_END))[-1]
-    words = tail.split()
-    label = re.match(r"[*\s]*([A-Za-z]{4,12}):", line)
-    protocol = bool(re.search(r"^[*\s]*decision\s*:", text, re.I | re.M))
-    cited = bool(re.search(r"\[E\d+\]\.?$", stripped))
+    whole = stripped.rstrip(_END)
+    before = _SENTENCES_BEFORE.match(whole)
+    words = whole[before.end() if before else 0 :].split()
+    label = _LABEL.match(line) if ":" in line else None
+    protocol = ":" in text and bool(_DECISION.search(text))
+    cited = "]" in stripped[-2:] and bool(_CITED.search(stripped))
     size = min(len(words), 3) if len(words) < 4 else 4 if len(words) < 9 else 5
     word = re.sub(r"\d", "0", words[-1].lower().strip(_END)) if words else ""
     signed = previous.endswith(",") and len(previous.split()) <= 4 and len(line.split()) <= 6
     return [
         f"kind={kind}", f"kind={kind},protocol={protocol},label={label.group(1).lower() if label else ''},cited={cited}",
         f"signed={signed},kind={kind if kind not in 'letterdigit' else 'word'},size={size if signed else ''}",
-        f"stop={bool(_STOP.search(raw[-40:]))}", f"size={size},kind={kind}", f"word={word if kind in ('letter', 'digit') and signed else kind}", f"label={bool(label)},kind={kind},size={min(size, 2)}",
+        f"stop={'<' in raw[-40:] and bool(_STOP.search(raw[-40:]))}", f"size={size},kind={kind}", f"word={word if kind in ('letter', 'digit') and signed else kind}", f"label={bool(label)},kind={kind},size={min(size, 2)}",
     ]
 
 
@@ -295,15 +359,18 @@ class EndingModel:
         if not names:
             return EndingModel()
         place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(rows), len(names) + 1), np.float32)
+        # Equal contexts are one weighted row.
+        counts = Counter((tuple(sorted(place[f] for f in set(r) if f in place)), i % 2) for i, r in enumerate(rows))
+        x = np.zeros((len(counts), len(names) + 1))
         x[:, -1] = 1
-        for i, r in enumerate(rows):
-            x[i, [place[f] for f in r if f in place]] = 1
-        y = np.tile(np.array([0, 1], np.float32), len(rows) // 2)
-        w = np.zeros(x.shape[1], np.float32)
+        for i, (own, _) in enumerate(counts):
+            x[i, list(own)] = 1
+        y = np.array([label for _, label in counts], float)
+        share = np.array(list(counts.values())) / len(rows)
+        w = np.zeros(x.shape[1])
         for _ in range(rounds):  # plain gradient steps with a little shrinkage
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 2.0 * (x.T @ (p - y) / len(y) + 1e-4 * w)
+            w -= 2.0 * (x.T @ ((p - y) * share) + 1e-4 * w)
         return EndingModel({f: float(w[i]) for f, i in place.items()}, float(w[-1]))
 
 

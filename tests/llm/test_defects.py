@@ -81,3 +81,21 @@ def test_short_verbatim_copies():
         for at in range(len(words) - n + 1):
             assert is_copy(prompt, " ".join(words[at : at + n])), words[at : at + n]
     assert not is_copy(prompt, "whisky blintz gnomes") and not is_copy(prompt, "gnomes blintz whisky quartz") and not is_copy(Prompt(""), "whisky blintz gnomes pack")
+
+
+def test_every_phrase_has_a_stem():
+    """One refusal of each kind of phrase is found through its stem, in any case."""
+    said = {
+        "en": ["I can't help with this.", "I cannot answer.", "I must decline to assist.", "Inappropriate for me to comply.", "I respectfully refuse.", "I am stepping back from this.", "My policies keep me out.", "That is not something I will write.", "No reply can be given.", "That is beyond my role.", "I have no part in it."],
+        "de": ["Ich kann hier nicht weiterhelfen.", "Ich muss das ablehnen.", "Ich lehne die Anfrage ab.", "Meine Richtlinien verbieten es."],
+        "es": ["No puedo ayudarle.", "Debo rechazar.", "Me niego.", "Las normas lo impiden."],
+        "fr": ["Je ne peux pas répondre.", "Je dois décliner.", "Je refuse.", "Les consignes l'interdisent.", "Il m'est impossible de continuer."],
+        "it": ["Non posso aiutare.", "Devo rifiutare."],
+        "pt": ["Não posso ajudar.", "Tenho de recusar."],
+        "zh": ["我无法协助您。", "我拒绝回答。", "准则不允许。"],
+    }
+    for lang, texts in said.items():
+        assert len(D.STEMS[lang]) == len(D.REFUSALS[lang])
+        for t in texts:
+            assert any(p.search(t) for p in D._PHRASES) == (D.first_refusal(t) is not None), t
+            assert (D.first_refusal(t.upper()) is None) == (not any(p.search(t.upper()) for p in D._PHRASES)), t
