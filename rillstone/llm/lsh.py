@@ -11,9 +11,10 @@ The stages, each of them distributed:
 3. each bucket links its members to its least class: a star, not all pairs;
 4. links whose byte sketches agree too little are dropped, and the rest are closed to
    groups by distributed connected components;
-5. inside a group the exact pairs come from a prefix join: two sets with Jaccard t share a
-   shingle among the first n - ceil(t n) + 1 of each, so only those meet, keyed by
-   (group, shingle), and the exact similarity decides.
+5. inside a small group every two classes are compared; inside a larger one a prefix join over the
+   group's rarest shingles first: two sets with Jaccard t share a shingle among the first
+   n - ceil(t n) + 1 of each, so only those meet, keyed by (group, shingle), only if what the
+   shared prefix leaves possible reaches t, and the exact similarity decides.
 
 Stage 5 finds every pair of a group; a pair is lost only if no chain of buckets joins its two
 classes, of probability below (1 - t**rows)**bands.
@@ -27,16 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.functions.shingling import mix, set_ids, word_shingles
+from rillstone.llm.shingling import mix, set_ids, word_shingles
 from rillstone.operators.graph import connected_components
 from rillstone.session import materialize, spread
 
 PROBES = 64
 FULL32 = np.uint32(0xFFFFFFFF)
 CHUNK_ROWS, CHUNK_CHARS = 2048, 1 << 20
+#: Bucket entries that a map task links and packs together.
+HELD_ENTRIES = 1 << 20
+#: Groups of so many classes are compared two by two; a class then meets at most as many others.
+SMALL_GROUP = 24
 
 
 @dataclass(frozen=True)
@@ -87,10 +92,10 @@ _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _probe_tables(bins: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per bin: the bins it asks in turn when it is empty, and a last full order of all bins."""
+    """Per turn and bin: the bin that is asked when it is empty; and a last full order of all bins."""
     if (bins, seed) not in _tables:
         x = np.arange(bins * PROBES, dtype=np.uint64).reshape(bins, PROBES)
-        probe = (((mix(x + np.uint64(seed)) >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+        probe = (((mix(x + np.uint64(seed)) >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int32).T.copy()
         y = np.arange(bins * bins, dtype=np.uint64).reshape(bins, bins)
         _tables[bins, seed] = probe, (mix(y ^ np.uint64(seed * 31 + 7)) >> np.uint64(32)).astype(np.uint32)
     return _tables[bins, seed]
@@ -110,18 +115,22 @@ def one_permutation(shingles: np.ndarray, offsets: np.ndarray, bins: int, seed:
     sig = flat.reshape(n, bins)
     filled = sig != FULL32
     probe, order = _probe_tables(bins, seed)
-    d, j = np.nonzero(~filled)
+    # Flat places of the empty bins, their texts' first places, and their numbers within the text.
+    has, to = filled.ravel(), np.flatnonzero(flat == FULL32).astype(np.int32 if n * bins < 2**31 else np.int64)
+    base = to // bins * bins
+    j = to - base
     for r in range(PROBES):
-        if not len(d):
+        if not len(to):
             break
-        ask = probe[j, r]
-        hit = filled[d, ask]
-        sig[d[hit], j[hit]] = sig[d[hit], ask[hit]]
-        d, j = d[~hit], j[~hit]
-    for one in np.unique(d):
-        own = np.flatnonzero(filled[one])
-        need = j[d == one]
-        sig[one, need] = sig[one, own[np.argmin(order[np.ix_(need, own)], axis=1)]]
+        ask = base + probe[r].take(j)
+        hit = has.take(ask)
+        flat[to[hit]] = flat.take(ask[hit])
+        miss = np.flatnonzero(~hit)
+        to, base, j = to.take(miss), base.take(miss), j.take(miss)
+    for one in np.unique(base):
+        own = np.flatnonzero(filled[one // bins])
+        need = j[base == one]
+        sig[one // bins, need] = sig[one // bins, own[np.argmin(order[np.ix_(need, own)], axis=1)]]
     return sig
 
 
@@ -209,6 +218,14 @@ def finer_bytes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys that stand once and those that stand more often are."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    often = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(key) else np.zeros(0, bool)
+    return order[~often], order[often]
+
+
 def _stars(key: np.ndarray, fine: np.ndarray, cls: np.ndarray, side: np.ndarray, levels: tuple[int, ...], cross: bool) -> tuple[np.ndarray, ...]:
     """Links of each bucket's classes to its least one, and one entry per key and fine number.
 
@@ -216,6 +233,9 @@ def _stars(key: np.ndarray, fine: np.ndarray, cls: np.ndarray, side: np.ndarray,
     with unlike texts, whose star centre helps nobody, alike ones still meet in a finer part.
     Returns (a, b, first place of each entry in the sorted input, order, least, sides).
     """
+    if not len(key):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, cls, side
     order = np.lexsort((cls, fine, key))
     key, fine, cls, side = key[order], fine[order], cls[order], side[order]
     found = []
@@ -241,10 +261,30 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
     partitions = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Several shards for each partition even out their sizes; very many would make the blobs tiny.
     shards = min(16 * partitions, max(4 * partitions, 1024))
+    columns = ("keys", "fine", "a", "b")
+
+    def packed_entries(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """One blob per shard that the held entries reach, after equal keys have been linked and collapsed."""
+        key, fine, cls, side = (np.concatenate(x) for x in zip(*held))
+        alone, many = _repeated(key)
+        a, b, begin, order, least, sides = _stars(key[many], fine[many], cls[many], side[many], (4,), False)
+        first = many[order[begin]]
+        key, fine = np.concatenate((key[alone], key[first])), np.concatenate((fine[alone], fine[first]))
+        cls, side = np.concatenate((cls[alone], least)), np.concatenate((side[alone], sides))
+        shard = (key % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        shard, short = shard[order], (key >> np.uint64(32)).astype(np.uint32)[order]
+        fine, cls, side = fine[order], cls[order], side[order]
+        cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))).tolist()
+        rows = [(int(shard[lo]), short[lo:hi].tobytes(), fine[lo:hi].tobytes(), cls[lo:hi].tobytes(), side[lo:hi].tobytes() if s.cross else b"") for lo, hi in zip(cut, cut[1:])]
+        if len(a):
+            rows.append((int(a[0] % shards), b"", b"", a.tobytes(), b.tobytes()))
+        number, *blobs = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["shard", *columns])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            out: dict[str, list] = {"shard": [], "keys": [], "fine": [], "a": [], "b": []}
             for lo, hi, shingles, offsets, salt, cls in _sets(batch, s):
                 has = np.flatnonzero(np.diff(offsets) > 0)
                 if not len(has):
@@ -255,37 +295,22 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
                 np.bitwise_or.at(sides, which, side)
                 some, to = _pick(shingles, offsets, has[first])
                 sig = signature_of(s, some, to, s.bands * s.rows, s.seed)
-                key = band_keys(sig, s.bands, s.rows, salt[has[first]]).ravel()
-                fine = finer_bytes(sig, s.bands, s.rows).ravel()
-                a, b, begin, order, cls1, side1 = _stars(key, fine, np.repeat(names, s.bands), np.repeat(sides, s.bands), (4,), False)
-                key, fine = key[order][begin], fine[order][begin]
-                if len(a):
-                    out["shard"].append(int(a[0] % shards))
-                    out["keys"].append(b"")
-                    out["fine"].append(b"")
-                    out["a"].append(a.tobytes())
-                    out["b"].append(b.tobytes())
-                shard = (key % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                short = (key >> np.uint64(32)).astype(np.uint32)
-                for p in range(shards):
-                    at = order[cut[p] : cut[p + 1]]
-                    if len(at):
-                        out["shard"].append(p)
-                        out["keys"].append(short[at].tobytes())
-                        out["fine"].append(fine[at].tobytes())
-                        out["a"].append(cls1[at].tobytes())
-                        out["b"].append(side1[at].tobytes() if s.cross else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "fine", "a", "b"))], ["shard", "keys", "fine", "a", "b"])
+                held.append((band_keys(sig, s.bands, s.rows, salt[has[first]]).ravel(), finer_bytes(sig, s.bands, s.rows).ravel(), np.repeat(names, s.bands), np.repeat(sides, s.bands)))
+                size += len(names) * s.bands
+                if size >= HELD_ENTRIES:
+                    yield packed_entries(held)
+                    held, size = [], 0
+        if held:
+            yield packed_entries(held)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             key = np.frombuffer(b"".join(held["keys"]), np.uint32)
-            cls = np.frombuffer(b"".join(held["a"]), np.int64)
-            side = np.frombuffer(b"".join(held["b"]), np.uint8) if s.cross else np.zeros(len(key), np.uint8)
-            fine = np.frombuffer(b"".join(held["fine"]), np.uint32)
-            a, b, *_ = _stars(key, fine, cls, side, (0, 1, 2, 3, 4), s.cross)
+            at = _repeated(key)[1]
+            cls = np.frombuffer(b"".join(held["a"]), np.int64)[at]
+            side = np.frombuffer(b"".join(held["b"]), np.uint8)[at] if s.cross else np.zeros(len(at), np.uint8)
+            fine = np.frombuffer(b"".join(held["fine"]), np.uint32)[at]
+            a, b, *_ = _stars(key[at], fine, cls, side, (0, 1, 2, 3, 4), s.cross)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held: dict[str, list[bytes]] = {"keys": [], "fine": [], "a": [], "b": []}
@@ -350,21 +375,44 @@ def class_sets(units: DataFrame, members: DataFrame, groups: DataFrame, s: Setti
     return sets.withColumn("size", F.size("shingles"))
 
 
+def _matching(a: str, b: str, s: Settings) -> Column:
+    """Two classes of one group, each pair once, of sizes that allow the threshold, on both sides with cross."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    rule = (c(a, "comp") == c(b, "comp")) & (c(a, "cls") < c(b, "cls")) & (F.least(c(a, "size"), c(b, "size")) >= s.threshold * F.greatest(c(a, "size"), c(b, "size")))
+    return rule & (c(a, "sides").bitwiseOR(c(b, "sides")) == 3) if s.cross else rule
+
+
+def prefix_candidates(sets: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): classes of one group that share a shingle of their prefixes, the group's rarest shingles first, and
+    whose shared prefix leaves enough for the threshold. No alike pair is missing.
+
+    After the last shared shingle of both prefixes only what follows it on both sides can still be shared.
+    """
+    t = s.threshold
+    each = sets.select("comp", "cls", "sides", "size", F.explode("shingles").alias("s"))
+    often = each.groupBy("comp", "s").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(often, ["comp", "s"]).groupBy("comp", "cls", "sides", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ds"))
+    first = F.slice("ds", F.lit(1), (F.col("size") - F.ceil(F.col("size") * t) + 1).cast("int"))
+    prefix = ordered.select("comp", "cls", "sides", "size", F.posexplode(first).alias("at", "d")).where("d.df > 1").select("comp", "cls", "sides", "size", "at", F.col("d.s").alias("s"))
+    met = prefix.alias("a").join(prefix.alias("b"), _matching("a", "b", s) & (F.col("a.s") == F.col("b.s")))
+    left = lambda x: F.max(F.col(f"{x}.at")).alias(f"{x}_last")
+    seen = met.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.size").alias("an"), F.col("b.size").alias("bn")).agg(F.count(F.lit(1)).alias("n"), left("a"), left("b"))
+    possible = F.col("n") + F.least(F.col("an") - F.col("a_last"), F.col("bn") - F.col("b_last")) - 1
+    return seen.where(possible >= t / (1 + t) * (F.col("an") + F.col("bn")) - 1e-6).select("a", "b")
+
+
 def exact_pairs(sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs of classes of one group with Jaccard similarity of at least the threshold."""
-    t = s.threshold
-    prefix = sets.select("comp", "cls", "sides", "size", F.explode(F.slice("shingles", F.lit(1), (F.col("size") - F.ceil(F.col("size") * t) + 1).cast("int"))).alias("s"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    rule = (F.col("a.comp") == F.col("b.comp")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))
-    rule = rule & (F.least("a.size", "b.size") >= t * F.greatest("a.size", "b.size"))
-    if s.cross:
-        rule = rule & (F.col("a.sides").bitwiseOR(F.col("b.sides")) == 3)
-    met = a.join(b, rule).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+    sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("classes"))
+    sets = sets.join(sizes, "comp")
+    small = sets.where(F.col("classes") <= SMALL_GROUP).select("comp", "cls", "sides", "size")
+    beside = small.alias("a").join(small.alias("b"), _matching("a", "b", s)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+    met = beside.unionAll(prefix_candidates(sets.where(F.col("classes") > SMALL_GROUP), s))
     one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     scored = met.join(one, "a").join(two, "b").select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= t)
+    return scored.where(F.col("jaccard") >= s.threshold)
 
 
 @dataclass(frozen=True)

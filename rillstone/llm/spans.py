@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.shingling import mix, powers
+from rillstone.llm.shingling import mix, powers
 from rillstone.session import materialize, spread
 
 CHUNK = 1 << 20
