@@ -106,3 +106,51 @@ def test_signatures_estimate_similarity():
     tiny = np.array([5, 9, 5], np.uint64)
     sig = one_permutation(tiny, np.array([0, 2, 3]), 640, 1)
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.08
+
+
+def templated(rng, n, shared=40, own=60):
+    """Texts that share a template of 40 of 100 words (similarity near 0.25), some with a near copy."""
+    template = [rng.choice(WORDS) for _ in range(shared)]
+    rows = []
+    for k in range(n):
+        words = template + [f"x{rng.randrange(10**9)}" for _ in range(own)]
+        rows.append((f"t-{k:05d}", " ".join(words)))
+        if k % 10 == 0:  # a copy with a third of its own words changed
+            for i in rng.sample(range(shared, shared + own), 8):
+                words[i] = f"y{rng.randrange(10**9)}"
+            rows.append((f"u-{k:05d}", " ".join(words)))
+    return rows
+
+
+def test_prefix_candidates_lose_nothing_and_skip_the_template(spark):
+    """One group of 440 texts on a template: every alike pair is a candidate, and few others are."""
+    from rillstone.llm.lsh import prefix_candidates
+
+    rows = templated(random.Random(5), 400)
+    names = {t: i for i, t in enumerate(sorted({t for _, x in rows for t in triples(x)}))}
+    sets = [(1, k, 0, len(s := {names[t] for t in triples(x)}), sorted(s)) for k, (_, x) in enumerate(rows)]
+    df = spark.createDataFrame(sets, "comp long, cls long, sides int, size int, shingles array<long>")
+    got = {(r.a, r.b) for r in prefix_candidates(df, Settings(threshold=0.5, words=3)).collect()}
+    each = [set(s[4]) for s in sets]
+    want = {(i, j) for i in range(len(each)) for j in range(i + 1, len(each)) if 2 * len(each[i] & each[j]) >= len(each[i] | each[j])}
+    assert want and want <= got and len(got) < 4 * len(want)
+
+
+@pytest.mark.parametrize("signature", ["oph", "minhash"])
+def test_crowded_buckets_keep_alike_texts(spark, signature):
+    """Template texts fill the buckets with unlike centres; the near copies among them are still found."""
+    rows = templated(random.Random(6), 1500)
+    units = spark.createDataFrame([("f", i, 0, [t]) for i, t in rows], "field string, id string, side int, parts array<string>")
+    got = {(r.id_1, r.id_2) for r in near_duplicates(units, Settings(threshold=0.5, words=3, signature=signature)).record_pairs().collect()}
+    sets = {i: triples(t) for i, t in rows}
+    want = {(a, b) for a, b in ((f"t-{k:05d}", f"u-{k:05d}") for k in range(0, 1500, 10)) if alike(sets[a], sets[b])}
+    assert len(want) > 140 and len(want & got) >= 0.99 * len(want)
+
+
+def test_large_groups_equal_brute_force(spark, corpus, monkeypatch):
+    from rillstone.llm import lsh
+
+    monkeypatch.setattr(lsh, "SMALL_GROUP", 1)
+    rows = [("f", i, 0, [t]) for i, t in corpus]
+    found = near_duplicates(spark.createDataFrame(rows, "field string, id string, side int, parts array<string>"), Settings(threshold=0.5, words=3)).record_pairs()
+    assert {(r.id_1, r.id_2) for r in found.collect()} == brute(corpus)
