@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,13 @@ def p5_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return flat_tables(table(spark, d, "miu_raw"))["record"].drop("ordinals", "parent_ref", "child_ref")
+    return flat_tables(table(spark, d, "miu_raw"))["record"].drop("ordinals", "parent_ref", "child_ref", "other")
+
+
+def p5_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every table the payloads make, with its rows and its leaves beside the named columns."""
+    parts = [t.select(F.lit(n).alias("child_table"), F.size("other").alias("others")) for n, t in flat_tables(table(spark, d, "miu_raw"), found=True).items()]
+    return reduce(DataFrame.unionAll, parts).groupBy("child_table").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("others").alias("other_leaves"))
 
 
 def p5_typed_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +54,7 @@ def p5_typed_rows(spark: SparkSession, d: str) -> DataFrame:
     return whole.groupBy("id", "child_table", "child_ref").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cards, p5_constraints, p5_records, p5_typed_rows)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_cards, p5_constraints, p5_records, p5_tables, p5_typed_rows)}
 
 ORACLES = {
     "p5_typed_rows": """

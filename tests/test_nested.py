@@ -2,7 +2,10 @@
 
 import json
 
-from rillstone.operators.nested import child_rows, flat_tables
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rillstone.operators.nested import MIU_COLUMNS, MIU_TABLES, Nodes, child_rows, flat_tables
 
 CARD = {"id": "clean_1", "content": "x", "provenance": {"source_ref": {"dataset": "d"}, "spans": [{"from": 1, "to": 2}, None, {"from": 3, "to": 4}]}}
 RECORD = {
@@ -63,5 +66,75 @@ def test_many_envelopes_and_encodings(spark):
     assert [set(got[i]) for i in range(3)] == [WANT] * 3
 
 
+JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=25)
+
+
+@given(JSON, st.integers(0, 3), st.integers(0, 200), st.sampled_from(['"', "{", "}", "[", "]", ",", ":", "1", "-", ".", "null", "\\", "\n", "\x01", " ", "e5"]))
+@settings(max_examples=400, deadline=None)
+def test_reader_agrees_with_the_library(value, indent, at, edit):
+    text = json.dumps(value, indent=indent or None, ensure_ascii=bool(indent % 2))
+    for t in (text, text[:at], text[:at] + edit + text[at:], text[:at] + text[at + 1 :]):
+        try:
+            want = json.loads(t)
+        except ValueError:
+            want = ValueError
+        nodes = Nodes()
+        root = nodes.read(t)
+        assert (root is None) == (want is ValueError), t
+        if root is not None:
+            got = nodes.written(root)
+            assert json.loads("null" if got is None else json.dumps(got) if nodes.kind[root] == "s" else got) == want, t
+
+
+def leaves_of(value, path=()):
+    """Every scalar below a value, with its path and places."""
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from leaves_of(v, (*path, k))
+    elif isinstance(value, list) and value:
+        for n, v in enumerate(value, 1):
+            yield from leaves_of(v, (*path, n))
+    else:
+        yield path, value
+
+
+def test_unknown_lists_make_tables_and_no_leaf_is_lost(spark):
+    record = dict(RECORD, meta={"seed": 5, "empty": {}, "none": [], "notes": [{"by": "x", "marks": [1, 2, None, 4]}, {"by": "y", "deep": {"er": [[1, 2], "z"]}}]}, extra=[None, "v"])
+    tables = flat_tables(spark.createDataFrame([(7, json.dumps(record)), (8, json.dumps({"subscenario": "s"}))], "raw_id long, payload string"), found=True)
+    assert set(tables) == {*MIU_COLUMNS, "meta.notes", "meta.notes.marks", "meta.notes.deep.er", "extra"}
+    got = []
+    for name, t in tables.items():
+        named = {v: k for k, v in MIU_COLUMNS.get(name, {}).items()}
+        for r in (x.asDict() for x in t.where("raw_id = 7").collect()):
+            got += [(name, tuple(r["ordinals"]), p, v) for p, v in {**{named[c]: r[c] for c in named if r[c] is not None}, **{p: v for p, v in r["other"].items() if v is not None}}.items()]
+    known = {"decision_boundary.options": "options", "baseline_decision.grounded_on": "grounded_on", "baseline_decision.per_constraint": "per_constraint"}
+    want = []
+    for path, value in leaves_of(record):
+        if value is None:
+            continue
+        places = [i for i, s in enumerate(path) if isinstance(s, int)]
+        if "er" in path:  # a list inside a list is one leaf
+            path, places = path[: places[1] + 1], places[:2]
+            value = [1, 2] if path[-1] == 1 else value
+        if "manipulated_context" in path:
+            places = [1]
+        name = ".".join(s for s in path[: places[-1] if places else 0] if isinstance(s, str)) or "record"
+        for k, v in (*known.items(), ("clean_context.provenance.spans", "clean_context.spans")):
+            name = name.replace(k, v) if name.startswith(k) else name
+        name = "manipulated_context" if "manipulated_context" in path else name
+        rest = path[places[-1] + 1 :] if places else path
+        at = (1,) if "manipulated_context" in path else tuple(path[i] for i in places)
+        want.append((name, at, ".".join(rest) or "value", value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))))
+    assert len(got) == len(set(got)) and set(got) == set(want)
+    links = {(tuple(r.ordinals), r.parent_ref, r.child_ref) for r in tables["meta.notes.marks"].collect()}
+    assert links == {((1, 1), "#1", "1"), ((1, 2), "#1", "2"), ((1, 4), "#1", "4")}
+
+
+def test_any_depth_is_read(spark):
+    deep = '{"subscenario": "s", "x": ' + "[" * 50_000 + "]" * 50_000 + ', "clean_context": ["c"]}'
+    assert rows(spark, [deep]) == {0: [("clean_context", "", "c")]}
+    assert len(list(Nodes().triples(deep, MIU_TABLES))) > 3
+
+
 def test_empty_table(spark):
     assert child_rows(spark.createDataFrame([], "raw_id long, payload string")).count() == 0
