@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstone.session import materialize
+
+
+def digest(key: Column) -> Column:
+    """16 bytes that stand for a text of any length."""
+    return F.unhex(F.md5(key.cast("string")))
+
 
 def duplicate_excess(df: DataFrame, key: Column, out: str = "excess") -> DataFrame:
-    """How many rows are repetitions of an earlier equal key."""
-    return df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(out))
+    """How many rows are repetitions of an earlier equal key. The keys meet by a digest of 128 bits, not as whole texts."""
+    return df.groupBy(digest(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(out))
 
 
 def distribution(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
@@ -47,28 +56,68 @@ def nmi(df: DataFrame, left: str, right: str, by: list[str] = ()) -> DataFrame:
     return rows.select(*by, F.col("total").alias("records"), F.when((F.col("kx") > 1) & (F.col("ky") > 1), mutual / F.sqrt(hx * hy)).alias("nmi"))
 
 
-def nearest_rank(df: DataFrame, value: str, q: float, by: list[str] = (), out: str = "value") -> DataFrame:
-    """The value at place round((n - 1) q), rounding half to even, to 4 places; counts per distinct
-    value are cumulated, so that a group never sits in one window row by row. Nulls are left out."""
-    by = list(by)
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+
+
+def cumulated(n: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+    """n with `upto`, the running sum of the weight in the order within the group, and `total`, the group's sum.
+
+    The rows are ranged over all groups and materialised with the number of their range; running sums
+    stay within a range, and what stands before it, one row per group and range, is added. A group of
+    any size thus spreads over many tasks. The order's values must be distinct within a group.
+    """
+    ranged = n.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    sums = ranged.groupBy(*by, "__p").agg(F.sum(weight).alias("__w"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("__o", F.coalesce(F.sum("__w").over(before), F.lit(0))).withColumn("total", F.sum("__w").over(Window.partitionBy(*by)))
+    local = ranged.withColumn("upto", F.sum(weight).over(Window.partitionBy("__p", *by).orderBy(order)))
+    both = local.join(carried, _same(local, carried, [*by, "__p"]))
+    return both.select(*[local[c] for c in n.columns], (F.col("upto") + F.col("__o")).alias("upto"), "total")
+
+
+def _ordered_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     n = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy("v")
-    ranked = n.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    at = F.bround((F.col("total") - 1) * F.lit(q), 0) + 1
-    return ranked.where((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at)).select(*by, F.bround("v", 4).alias(out))
+    return cumulated(n, by, "v", "n")
+
+
+def _at(place: Column) -> Column:
+    """The value at a place from 0, as an aggregate over ordered values."""
+    return F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("v")))
+
+
+def nearest_ranks(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """Per group the values at the places round((n - 1) q), rounding half to even, to 4 places, from cumulated counts of
+    the distinct values. Nulls are left out."""
+    by = list(by)
+    found = [F.bround(_at(F.bround((F.col("total") - 1) * F.lit(q), 0)), 4).alias(c) for c, q in quantiles.items()]
+    return _ordered_values(df, value, by).groupBy(*by).agg(*found)
+
+
+def nearest_rank(df: DataFrame, value: str, q: float, by: list[str] = (), out: str = "value") -> DataFrame:
+    """One quantile of nearest_ranks."""
+    return nearest_ranks(df, value, {out: q}, by)
 
 
 def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """Count, mean, population deviation and interpolated quartiles per group."""
-    p = F.percentile(value, [0.25, 0.5, 0.75])
-    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("p")).select(*by, "count", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    """Count, mean, population deviation and interpolated quartiles per group, from cumulated counts of the distinct values."""
+    by = list(by)
+    moments = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    parts = []
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        place = (F.col("total") - 1) * F.lit(q)
+        parts += [_at(F.floor(place)).alias(f"{name}_lo"), _at(F.ceil(place)).alias(f"{name}_hi"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+    places = _ordered_values(df, value, by).groupBy(*by).agg(*parts)
+    both = moments.join(places, _same(moments, places, by), "left")
+    quartile = lambda c: (F.col(f"{c}_lo") + (F.col(f"{c}_hi") - F.col(f"{c}_lo")) * F.col(f"{c}_part")).alias(c)
+    return both.select(*[moments[c] for c in by], "count", "mean", "std", *map(quartile, ("p25", "p50", "p75")))
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """Rank with ties at their average, from cumulated counts of distinct values."""
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(value)
-    ranks = n.withColumn(out, F.sum("__n").over(before) - (F.col("__n") - 1) / 2.0).drop("__n")
+    ranks = cumulated(n, by, value, "__n").select(*by, value, (F.col("upto") - (F.col("__n") - 1) / 2.0).alias(out))
     return df.join(ranks, [*by, value])
 
 

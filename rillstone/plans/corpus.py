@@ -31,7 +31,7 @@ def _tags_sql(e: str, rules: dict[str, tuple[str, ...]]) -> str:
 def corpus_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "text", "source")
     rows = docs.select(F.coalesce("source", F.lit("(none)")).alias("source"), text.normalized(F.coalesce("text", F.lit(""))).alias("n"), text.first_cue("text", RELEASE_BOUNDARY_CUES).alias("cue"))
-    seen = rows.groupBy("source", F.xxhash64("n").alias("h"), "n").agg(F.count(F.lit(1)).alias("k"), F.count("cue").alias("cues"))
+    seen = rows.groupBy("source", stats.digest(F.col("n")).alias("h")).agg(F.count(F.lit(1)).alias("k"), F.count("cue").alias("cues"))
     return seen.groupBy("source").agg(F.sum("k").alias("documents"), F.sum(F.col("k") - 1).alias("duplicate_excess"), F.sum("cues").alias("boundary_cues"))
 
 
@@ -114,8 +114,7 @@ def position_role_nmi(spark: SparkSession, d: str) -> DataFrame:
 
 def quantile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_returnflag", "l_extendedprice")
-    a = stats.nearest_rank(li, "l_extendedprice", 0.5, ["l_returnflag"], "p50")
-    return a.join(stats.nearest_rank(li, "l_extendedprice", 0.95, ["l_returnflag"], "p95"), "l_returnflag")
+    return stats.nearest_ranks(li, "l_extendedprice", {"p50": 0.5, "p95": 0.95}, ["l_returnflag"])
 
 
 def describe_by_group(spark: SparkSession, d: str) -> DataFrame:
@@ -135,10 +134,10 @@ def item_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
-    o = item_overlaps(spark, d)
+    o = materialize(item_overlaps(spark, d), "overlaps")
     flags = o.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg((F.col("overlap") >= 0.58).cast("double")), 6).alias("share_ge_058"))
     # One row each.
-    return flags.join(F.broadcast(stats.nearest_rank(o, "overlap", 0.5, [], "median"))).join(F.broadcast(stats.nearest_rank(o, "overlap", 0.95, [], "p95")))
+    return flags.join(F.broadcast(stats.nearest_ranks(o, "overlap", {"median": 0.5, "p95": 0.95})))
 
 
 def eil_issues(spark: SparkSession, d: str) -> DataFrame:
