@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.operators.selection import with_position
-from rillstone.session import materialize
+from rillstone.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def _settled(named: DataFrame) -> DataFrame:
     loops = named.where("u = v").select("u").distinct()
     mark = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40)))).first())
         if seen == mark:
             break

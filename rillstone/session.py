@@ -54,13 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/rillstone-{spark.sparkContext.applicationId}"
 
 
 def forget(spark: SparkSession) -> None:
     """Delete the tables this application has materialised; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -70,9 +70,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     Later plans start from the files, so they survive the loss of any executor, and
     the planner sees the true size before it decides on a broadcast.
     """
-    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stands_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later step reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stands_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
