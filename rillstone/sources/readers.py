@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,18 +22,24 @@ def split_path(path: str) -> tuple[str, int | None, int | None]:
     return m[1], int(m[2]) if m[2] else None, int(m[3]) if m[3] else None
 
 
+def found_path(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, names something in the file system Spark reads from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """Typed rows of one or more JSONL files; blank lines are skipped, missing files are empty.
 
     strict: an unreadable line fails the read; otherwise it gives a row with `_corrupt_record`.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    local = [p for p in paths if "://" in p or os.path.exists(p)]
-    if not local:
-        return spark.createDataFrame([], schema)
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(local)
-    return spark.read.schema(schema + ", _corrupt_record STRING").json(local)
+    there = [p for p in paths if found_path(spark, p)]
+    kept = schema if strict else schema + ", _corrupt_record STRING"
+    if not there:
+        return spark.createDataFrame([], kept)
+    return spark.read.schema(kept).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(there)
 
 
 def validated_jsonl(spark: SparkSession, paths: str | list[str], schema: str, key: str = "id") -> DataFrame:

@@ -49,9 +49,26 @@ def csv_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def swap_table(df: DataFrame, path: str, staging: str) -> None:
-    """Write to staging, read back, and replace the target, so that a failed write leaves it whole."""
+    """Write to staging and put it in the target's place by renaming.
+
+    A failed write leaves the target as it is; between the two renames the old table stands beside
+    the target with the ending .old, and it is put back where the second rename fails. df may read the
+    target itself. Staging must be in the target's file system.
+    """
     df.write.mode("overwrite").parquet(staging)
-    df.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    new, target, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, path, path.rstrip("/") + ".old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(new, target):
+        if held:
+            fs.rename(old, target)
+        raise OSError(f"cannot put {staging} in the place of {path}")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_dump(df: DataFrame, path: str) -> None:

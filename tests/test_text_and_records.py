@@ -46,7 +46,9 @@ def test_graders(spark, one):
     assert (f.precision, f.recall) == pytest.approx((2 / 3, 0.5)) and f.f1 == pytest.approx(4 / 7)
     assert one(graders.token_f1(L("yes"), L("yes sir"))).f1 == 0.0 and one(graders.token_f1(L(None), L("x"))).f1 == 0.0 and one(graders.token_f1(L("yes"), L("Yes."))).f1 == 1.0
     assert one(graders.exact_match(L("The Fox"), F.array(L("dog"), L("fox!"))))
-    assert graders.answer_letter("<think>A</think> So the answer is (b). Choice: C") == "C" and graders.answer_letter("maybe B or D") == "D" and graders.answer_letter("") is None
+    said = [("<think>A</think> So the answer is (b). Choice: C", 4), ("maybe B or D", 4), ("", 4), (None, 4), ("The ANSWER: b", None), ("option E", 4), ("option E", 5), ("B is the correct one, not A", 0)]
+    letters = [r[0] for r in spark.createDataFrame(said, "t string, n int").select(graders.option_letter("t", F.col("n"))).collect()]
+    assert letters == ["C", "D", None, None, "B", None, "E", "B"]
     assert graders.boxed("x \\boxed{\\frac{1}{2}} y") == "\\frac{1}{2}" and graders.boxed("none") is None
     for a, b in (("\\frac12", "0.5"), ("1,000", "1000"), ("(1, 2)", "(1,2.0)"), ("x = 5", "5"), ("5 \\text{ cm}", "5"), (".5", "1/2")):
         assert graders.math_equal(a, b), (a, b)
@@ -150,6 +152,8 @@ def test_readers_and_writers(spark, tmp_path):
     assert [r.problem for r in readers.judged(j, "t", "utility").collect()] == [None, "not_an_object", "missing", "wrong_keys"]
     out = str(tmp_path / "table")
     assert writers.append_once(df, out, "id") == 2 and writers.append_once(df, out, "id") == 0 and spark.read.parquet(out).count() == 2
+    assert readers.found_path(spark, out) and not readers.found_path(spark, str(tmp_path / "absent"))
+    assert readers.jsonl(spark, [str(tmp_path / "absent.jsonl")], "a int", strict=False).columns == ["a", "_corrupt_record"]
     writers.swap_table(df.limit(1), out, str(tmp_path / "stage"))
     assert spark.read.parquet(out).count() == 1
     with pytest.raises(Exception):
