@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.taxonomies import INFRASTRUCTURE_FAILURES, SEVERITY_WEIGHTS
+from rillstone.operators.selection import with_position
 
 LAMBDA = 0.35 / 0.65
+BREAKER_ROWS = 1 << 16
 
 
 def severity_exposure(slots: Column, scores: Column) -> Column:
@@ -112,19 +114,17 @@ def group_verdicts(df: DataFrame, group: str, value: str = "reward_value", eligi
 def breaker(verdicts: DataFrame, order: str, threshold: int = 3) -> DataFrame:
     """Consecutive all-infrastructure failures up to each group in order, and whether the breaker is open.
 
-    Islands by counting resets: the order is cut into ranges, each range is summed up, and the
-    sums are carried on, so that no single window holds all groups.
+    Islands by counting resets: the order is cut into blocks of BREAKER_ROWS rows, each block is summed
+    up, and the sums are carried on, so that no single window holds all groups, wherever their ids lie.
     """
-    blocks = 1024
-    edges = verdicts.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    placed = verdicts.join(F.broadcast(edges)).withColumn("__b", F.floor((F.col(order) - F.col("lo")) * blocks / (F.col("hi") - F.col("lo") + 1)))
+    placed = with_position(verdicts, [order], "__pos").withColumn("__b", F.floor(F.col("__pos") / BREAKER_ROWS))
     inside = Window.partitionBy("__b").orderBy(order)
     reset = (~F.col("infra_failure")).cast("int")
     local = placed.withColumn("__r", F.sum(reset).over(inside))
     local = local.withColumn("__n", F.sum(F.col("infra_failure").cast("int")).over(Window.partitionBy("__b", "__r").orderBy(order)))
     ends = placed.groupBy("__b").agg(F.sum(reset).alias("resets"), F.count(F.lit(1)).alias("rows"), F.max(F.when(~F.col("infra_failure"), F.col(order))).alias("last"))
     tails = placed.join(ends, "__b").where(F.col("last").isNull() | (F.col(order) > F.col("last"))).groupBy("__b").agg(F.count(F.lit(1)).alias("tail"))
-    # At most `blocks` rows: fold the open tails of earlier blocks.
+    # One row per block: fold the open tails of earlier blocks.
     folded = ends.join(tails, "__b", "left").withColumn("tail", F.coalesce("tail", F.lit(0)))
     w = Window.orderBy("__b")
     run = folded.withColumn("__g", F.sum((F.col("resets") > 0).cast("int")).over(w)).withColumn("__upto", F.sum("tail").over(Window.partitionBy("__g").orderBy("__b")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import graders, sequences, stats, text
 from rillstone.operators import decisions, merging, packing, retrieval, rewards, selection
+from rillstone.session import own_folder
 from rillstone.sources.tables import table
 from rillstone.streaming import buffer
 
@@ -207,10 +208,8 @@ def stream_group_buffer(spark: SparkSession, d: str) -> DataFrame:
     """The stream of buffer items, run to its end over the stored table, into a table in the shared folder."""
     import uuid
 
-    from rillstone.session import shared_folder
-
     schema = table(spark, d, "buffer_item").schema
-    base, name = shared_folder(spark), uuid.uuid4().hex
+    base, name = own_folder(spark), uuid.uuid4().hex
     path = f"{d}/buffer_item.parquet"
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, path, f"{base}/in-{name}"))
     done = buffer.full_groups(stream, 4)
@@ -282,9 +281,10 @@ def kk_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_packs(spark: SparkSession, d: str) -> DataFrame:
-    t = token_series(spark, d).where("tokens is not null").select("index", (F.col("index") % 4).alias("pack"), "tokens")
-    p = packing.joined_packs(t, ["pack"], "index", "tokens")
-    back = packing.split_packs(p, ["pack"])
+    """Packs of neighbouring samples, joined and split again; how many sequences and tokens of each of four lanes come back."""
+    t = token_series(spark, d).where("tokens is not null").select("index", (F.col("index") % 4).alias("pack"), F.floor(F.col("index") / 64).alias("step"), "tokens")
+    p = packing.joined_packs(t, ["pack", "step"], "index", "tokens")
+    back = packing.split_packs(p, ["pack", "step"])
     return back.groupBy("pack").agg(F.count(F.lit(1)).alias("sequences"), F.sum(F.size("tokens")).alias("tokens"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillstone.operators.rewards import bounded_group_normalised
+from rillstone.operators.selection import with_position
 
 GROUP = "instance_id string, uids array<string>, rewards array<double>, size int, timed_out boolean"
 
@@ -17,7 +18,9 @@ GROUP = "instance_id string, uids array<string>, rewards array<double>, size int
 def full_groups(stream: DataFrame, group_size: int, timeout_ms: int | None = None) -> DataFrame:
     """Emit each instance once it has group_size distinct items; items of an emitted group start a new one.
 
-    Redelivered items (same uid) count once. With timeout_ms, a group that waits longer is given
+    Items redelivered (same uid) while their group waits count once; after it was emitted they count as
+    new, since the state does not keep what it has given away. (batch_groups, which sees the whole table,
+    counts every uid once.) With timeout_ms, a group that waits longer is given
     up and emitted as it is (timed_out); without, groups wait. State per instance is at most
     group_size items. stream: instance_id, uid, reward; null instances are left out.
     """
@@ -51,12 +54,15 @@ def full_groups(stream: DataFrame, group_size: int, timeout_ms: int | None = Non
 
 
 def batch_groups(items: DataFrame, group_size: int, order: str = "received_at") -> DataFrame:
-    """The same over a finished table: each instance's distinct items in arrival order, cut into full groups."""
-    from pyspark.sql import Window
+    """Over a finished table: each instance's distinct items in arrival order, cut into full groups.
 
+    Places are counted in one order of all instances and start anew at each, so that an instance with a
+    tenth of the rows is no single window.
+    """
     once = items.where("instance_id is not null and uid is not null").groupBy("instance_id", "uid").agg(F.min(F.struct(F.coalesce(order, F.lit("9999-12-31").cast("timestamp")).alias("at"), "reward")).alias("m"))
-    place = F.row_number().over(Window.partitionBy("instance_id").orderBy("m.at", "uid")) - 1
-    grouped = once.select("instance_id", "uid", F.col("m.at").alias("at"), "m.reward", F.floor(place / group_size).alias("turn"))
+    placed = with_position(once.select("instance_id", "uid", F.col("m.at").alias("at"), "m.reward"), ["instance_id", "at", "uid"], "pos")
+    begins = placed.groupBy("instance_id").agg(F.min("pos").alias("begin"))
+    grouped = placed.join(begins, "instance_id").withColumn("turn", F.floor((F.col("pos") - F.col("begin")) / group_size))
     rows = grouped.groupBy("instance_id", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "uid", "reward"))).alias("g"))
     return rows.where(F.size("g") == group_size).select("instance_id", F.transform("g", lambda x: x["uid"]).alias("uids"), F.transform("g", lambda x: x["reward"]).alias("rewards"), F.size("g").alias("size"))
 
