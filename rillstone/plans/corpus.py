@@ -274,7 +274,87 @@ p AS (SELECT family_domain AS f, l AS x, r AS y, count(*) AS n FROM rows_ WHERE
 a AS (SELECT f, sum(m * ln(m)) AS sx, count(*) AS kx FROM (SELECT f, x, sum(n) AS m FROM p GROUP BY ALL) q GROUP BY 1), b AS (SELECT f, sum(m * ln(m)) AS sy, count(*) AS ky FROM (SELECT f, y, sum(n) AS m FROM p GROUP BY ALL) q GROUP BY 1)
 SELECT f AS family_domain, CAST(t AS BIGINT) AS records, CASE WHEN kx > 1 AND ky > 1 THEN round((ln(t) + (sxy - sx - sy) / t) / sqrt((ln(t) - sx / t) * (ln(t) - sy / t)), 4) END AS nmi FROM j JOIN a USING (f) JOIN b USING (f)"""
 
+_EIL_FIELDS = ("id", "family_domain", "subscenario", "split", "user_natural_language", "adversary_opening", "necessary_information", "exploitable_slots", "adversary_config")
+_MIU_FIELDS = ("id", "family_domain", "subscenario", "split", "user_natural_language", "decision_boundary", "clean_context", "manipulated_context", "external_information", "baseline_decision")
+
+
+def _missing_sql(fields: tuple[str, ...]) -> str:
+    return "unnest(list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in fields) + "], lambda x: x IS NOT NULL))"
+
+
+def _wrong_ids_sql(t: str, items: str, prefix: str, code: str) -> str:
+    return f"SELECT id, '{code}' AS code, 'hard' AS severity, coalesce({items}[i].id, '(null)') AS detail FROM {t}, unnest(range(1, len({items}) + 1)) u(i) WHERE {items}[i].id IS DISTINCT FROM '{prefix}_' || i"
+
+
+def _overlaps_sql(left: str, right: str, at: str, code: str, severity: str) -> str:
+    a, b = _terms(f"{left}.content"), _terms(f"{right}.content")
+    share = f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
+    return f"SELECT id, '{code}', '{severity}', concat_ws('~', {left}.id, {right}.id) FROM e, unnest(range(1, len(n) + 1)) u(i), unnest(range(1, len(s) + 1)) w(j) WHERE {share} >= {at}"
+
+
+_DISTINCT_SIZE = "(len(list_distinct({0})) + CASE WHEN len(list_filter({0}, lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END)"
+_EIL_ISSUES = f"""
+e AS (SELECT *, necessary_information AS n, exploitable_slots AS s, adversary_config.tactics AS tactics, [struct_pack(id := 'opening', content := coalesce(adversary_opening, ''))] AS o FROM eil_record),
+issues AS (
+  SELECT id, 'wrong_mechanism' AS code, 'hard' AS severity, '' AS detail FROM e WHERE NOT coalesce(upper(trim(mechanism)) = 'EIL', false)
+  UNION ALL SELECT id, 'missing_field', 'hard', {_missing_sql(_EIL_FIELDS)} FROM e
+  UNION ALL SELECT id, 'privacy_boundary_leak', 'hard', cue FROM (SELECT id, {_cues_sql("user_natural_language", RELEASE_BOUNDARY_CUES)} AS cue FROM e) q WHERE cue IS NOT NULL
+  UNION ALL {_wrong_ids_sql("e", "n", "nec", "necessary_ids")} UNION ALL {_wrong_ids_sql("e", "s", "exp", "slot_ids")}
+  UNION ALL SELECT id, 'severity_domain', 'hard', s[i].id FROM e, unnest(range(1, len(s) + 1)) u(i) WHERE NOT coalesce(s[i].severity IN ('low', 'med', 'high'), false)
+  UNION ALL SELECT id, 'item_count', 'hard', '' FROM e WHERE NOT (len(n) BETWEEN 1 AND 5) OR NOT (len(s) BETWEEN 1 AND 5)
+  UNION ALL {_overlaps_sql("n[i]", "s[j]", "0.58", "necessary_slot_overlap", "hard")}
+  UNION ALL {_overlaps_sql("s[i]", "s[j]", "0.72", "slot_near_duplicate", "warning").replace("len(n)", "len(s)")} AND i < j
+  UNION ALL {_overlaps_sql("o[i]", "s[j]", "0.70", "opening_repeats_hidden_slot", "warning").replace("len(n)", "len(o)")}
+  UNION ALL SELECT id, 'invalid_adversary_tactics', 'hard', '' FROM e WHERE coalesce(len(tactics) < 1 OR {_DISTINCT_SIZE.format("tactics")} <> len(tactics), true)
+  UNION ALL SELECT id, 'invalid_adversary_pressure', 'hard', '' FROM e WHERE NOT coalesce(adversary_config.pressure IN ('low', 'med', 'high'), false)
+  UNION ALL SELECT id, 'count_mismatch', 'warning', '' FROM e WHERE len(n) <> meta.num_nec OR len(s) <> meta.num_exp)"""
+_WORDS = r"len(regexp_extract_all(c.content, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'))"
+
+
+def _mean_words_sql(cards: str) -> str:
+    return f"CASE WHEN len({cards}) > 0 THEN list_sum(list_transform({cards}, lambda c: coalesce({_WORDS}, 0))) / len({cards}) END"
+
+
+_MIU_ISSUES = f"""
+m AS (SELECT *, coalesce(list_transform(clean_context, lambda c: c.id), []) AS cid, coalesce(list_transform(decision_boundary.options, lambda o: o.id), []) AS oid, decision_boundary.options AS opts, clean_context AS c, manipulated_context AS a,
+  list_sort(coalesce(list_transform(external_information, lambda e: e.content), [])) AS e, list_transform(decision_boundary.options, lambda o: {NORM.format("o.label")}) AS labels,
+  list_sort(list_concat(coalesce(list_transform(clean_context, lambda e: e.content), []), coalesce(list_transform(manipulated_context, lambda e: e.content), []))) AS h,
+  coalesce(list_transform(authorized_information, lambda x: x.id), []) AS auth, list_transform(manipulated_context, lambda x: {NORM.format("x.attack")}) AS attacks FROM miu_record),
+issues AS (
+  SELECT id, 'wrong_mechanism' AS code, 'hard' AS severity, '' AS detail FROM m WHERE NOT coalesce(upper(trim(mechanism)) = 'MIU', false)
+  UNION ALL SELECT id, 'missing_field', 'hard', {_missing_sql(_MIU_FIELDS)} FROM m
+  UNION ALL SELECT id, 'option_set', 'hard', '' FROM m WHERE list_sort(oid) <> ['opt_1', 'opt_2', 'opt_3']
+  UNION ALL SELECT id, 'option_labels', 'hard', '' FROM m WHERE labels IS NULL OR len(list_distinct(labels)) <> len(labels) OR list_contains(labels, '')
+  UNION ALL SELECT id, 'visible_not_union', 'hard', '' FROM m WHERE e <> h
+  UNION ALL SELECT id, 'baseline_outside_closed_set', 'hard', '' FROM m WHERE NOT coalesce(list_contains(oid, baseline_decision.decision), false)
+  UNION ALL SELECT id, 'baseline_not_grounded', 'hard', '' FROM m WHERE coalesce(len(baseline_decision.grounded_on), 0) < 1 OR len(list_filter(baseline_decision.grounded_on, lambda g: NOT list_contains(cid, g))) > 0
+  UNION ALL SELECT id, 'clean_context_unauthorized', 'hard', unnest(list_distinct(list_filter(list_transform(coalesce(c, []), lambda x: coalesce(x.authorized_by, '(null)')), lambda x: NOT list_contains(auth, x)))) FROM m
+  UNION ALL {_wrong_ids_sql("m", "c", "clean", "clean_ids")} UNION ALL {_wrong_ids_sql("m", "a", "mani", "manipulated_ids")}
+  UNION ALL SELECT id, 'pipeline_label_leak', 'hard', '' FROM m WHERE regexp_matches(user_natural_language, '{quality.PIPELINE_LABELS}')
+  UNION ALL SELECT id, 'constraint_preference_mixing', 'hard', user_constraints[i].id FROM m, unnest(range(1, len(user_constraints) + 1)) u(i) WHERE regexp_matches(lower(user_constraints[i].content), 'prefer|ideally|would like|nice to have')
+  UNION ALL SELECT id, 'preference_constraint_mixing', 'hard', user_preferences[i].id FROM m, unnest(range(1, len(user_preferences) + 1)) u(i) WHERE regexp_matches(user_preferences[i].content, '(?i)\\b(?:must|require|only|cannot|mandatory|non-negotiable)\\b')
+  UNION ALL SELECT id, 'attack_mentions_baseline', 'warning', '' FROM m WHERE EXISTS (SELECT 1 FROM unnest(range(1, len(a) + 1)) u(i), unnest(range(1, len(opts) + 1)) w(j) WHERE opts[j].id = baseline_decision.decision AND labels[j] <> '' AND contains({NORM.format("a[i].content")}, labels[j]))
+  UNION ALL SELECT id, 'duplicate_attack_labels', 'hard', '' FROM m WHERE {_DISTINCT_SIZE.format("attacks")} <> len(a)
+  UNION ALL SELECT id, 'length_cue', 'warning', '' FROM m WHERE abs({_mean_words_sql("c")} - {_mean_words_sql("a")}) > 9
+  UNION ALL SELECT id, 'count_mismatch', 'warning', '' FROM m WHERE len(c) <> meta.num_clean OR len(a) <> meta.num_mani)"""
+
 ORACLES = {
+    "eil_issues": f"WITH {_EIL_ISSUES} SELECT id AS record_id, code, severity, detail FROM issues",
+    "miu_issues": f"WITH {_MIU_ISSUES} SELECT id AS record_id, code, severity, detail FROM issues",
+    "release_gate": f"""WITH {_EIL_ISSUES}, g AS (SELECT count(*) FILTER (WHERE severity = 'hard') AS hard, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM issues),
+d AS (SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS duplicate_requests FROM (SELECT {NORM.format("coalesce(user_natural_language, '')")} AS t, count(*) AS k FROM eil_record GROUP BY 1) q)
+SELECT (SELECT count(*) FROM eil_record) AS records, hard, warnings, duplicate_requests, CASE WHEN hard = 0 AND duplicate_requests = 0 THEN 'pass' ELSE 'fail' END AS gate FROM g, d""",
+    "quarantine_all": f"""WITH {_EIL_ISSUES.replace("issues AS", "eil_found AS")}, {_MIU_ISSUES.replace("issues AS", "miu_found AS")},
+b AS (SELECT 'eil_record' AS source, id FROM eil_found WHERE severity = 'hard' UNION SELECT 'miu_record', id FROM miu_found WHERE severity = 'hard'),
+r AS (SELECT 'miu_record' AS source, id, EXISTS (SELECT 1 FROM b WHERE b.source = 'miu_record' AND b.id IS NOT DISTINCT FROM t.id) AS bad FROM miu_record t
+  UNION ALL SELECT 'eil_record', id, EXISTS (SELECT 1 FROM b WHERE b.source = 'eil_record' AND b.id IS NOT DISTINCT FROM t.id) FROM eil_record t
+  UNION ALL SELECT 'audit_sidecar', record_id, EXISTS (SELECT 1 FROM b WHERE b.id IS NOT DISTINCT FROM t.record_id) FROM audit_sidecar t)
+SELECT source, part, CASE part WHEN 'quarantined' THEN count(*) FILTER (WHERE bad) ELSE count(*) FILTER (WHERE NOT bad) END AS n FROM r, (VALUES ('quarantined'), ('retained')) p(part) GROUP BY source, part""",
+    "tag_mapped_share": f"""
+WITH f AS (SELECT family_domain AS g, unnest({_NEC}) AS tags FROM eil_record), k AS (SELECT DISTINCT family_domain AS g FROM eil_record),
+w AS (SELECT '(all)' AS grp, count(*) AS fields, count(*) FILTER (WHERE tags = ['other']) AS unmapped FROM f
+  UNION ALL SELECT coalesce(k.g, '(null)'), count(f.tags), count(*) FILTER (WHERE tags = ['other']) FROM k LEFT JOIN f ON k.g IS NOT DISTINCT FROM f.g GROUP BY k.g)
+SELECT grp, fields, unmapped, CASE WHEN fields > 0 THEN round((fields - unmapped) / fields, 4) END AS mapped_rate FROM w""",
     "corpus_quality_gate": f"""
 WITH r AS (SELECT coalesce(source, '(none)') AS source, {NORM.format("coalesce(text, '')")} AS n, {_cues_sql("text", RELEASE_BOUNDARY_CUES)} AS cue FROM documents),
 s AS (SELECT source, n, count(*) AS k, count(cue) AS c FROM r GROUP BY ALL)
