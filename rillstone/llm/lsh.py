@@ -38,8 +38,8 @@ from rillstone.session import materialize, spread
 PROBES = 64
 FULL32 = np.uint32(0xFFFFFFFF)
 CHUNK_ROWS, CHUNK_CHARS = 2048, 1 << 20
-#: Bucket entries that a map task links and packs together.
-HELD_ENTRIES = 1 << 20
+#: Bucket entries (of about 17 bytes) that a link task should read at most, and those that a map task links and packs together.
+TASK_ENTRIES, HELD_ENTRIES = 1 << 22, 1 << 20
 #: Groups of so many classes are compared two by two; a class then meets at most as many others.
 SMALL_GROUP = 24
 
@@ -253,12 +253,14 @@ def _stars(key: np.ndarray, fine: np.ndarray, cls: np.ndarray, side: np.ndarray,
     return pairs[:, 0], pairs[:, 1], begin, order, least, sides
 
 
-def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
+def candidate_links(units: DataFrame, s: Settings, texts: int) -> DataFrame:
     """Star-shaped candidate links between classes that share a bucket: (a, b), a < b, distinct.
 
-    With cross, a bucket counts only if both sides are in it.
+    With cross, a bucket counts only if both sides are in it. texts: about how many there are; where
+    the session's partitions would be too few for their entries, there are more.
     """
-    partitions = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, texts * s.bands // TASK_ENTRIES)
     # Several shards for each partition even out their sizes; very many would make the blobs tiny.
     shards = min(16 * partitions, max(4 * partitions, 1024))
     columns = ("keys", "fine", "a", "b")
@@ -330,7 +332,8 @@ def candidate_links(units: DataFrame, s: Settings) -> DataFrame:
             yield done()
 
     packed = units.select("field", "id", F.col("side").cast("int"), "parts").mapInArrow(pack, "shard int, keys binary, fine binary, a binary, b binary")
-    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(link, "a long, b long").distinct()
+    spread_out = packed.repartition("shard") if partitions == usual else packed.repartition(partitions, "shard")
+    return spread_out.sortWithinPartitions("shard").mapInArrow(link, "a long, b long").distinct()
 
 
 def _agreement(bytes_: int):
@@ -451,7 +454,7 @@ def near_duplicates(units: DataFrame, s: Settings) -> NearDuplicates:
     """
     units = spread(units.select("field", "id", "side", "parts"))
     members = materialize(members_of(units, s), "members")
-    candidates = materialize(candidate_links(units, s), "candidates")
+    candidates = materialize(candidate_links(units, s, members.count()), "candidates")
     links = materialize(group_links(candidates, members, s), "links")
     groups = materialize(connected_components(links, "a", "b"), "groups")
     sets = materialize(class_sets(units, members, groups, s), "sets")
