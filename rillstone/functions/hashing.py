@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Like = Column | str
 
@@ -43,3 +44,24 @@ def cyclic_choice(values: list[str], offset: Column, ordinal: Column) -> Column:
 def hashed_pick(values: Column, seed: Column) -> Column:
     """One element of an array, chosen by a seed; null for an empty array."""
     return F.when(F.size(values) > 0, F.element_at(values, (seed % F.size(values)).cast("int") + 1))
+
+
+def _ordered(c: Column, kind: T.DataType) -> Column:
+    """A value with the fields of its structs in the order of their names, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    return c
+
+
+def canonical_json(df: DataFrame, columns: tuple[str, ...]) -> Column:
+    """The columns as compact JSON with sorted keys at every depth; nulls stay as null, other characters than ASCII as they are."""
+    whole = F.struct(*[_ordered(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)])
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def canonical_digest(df: DataFrame, columns: tuple[str, ...]) -> Column:
+    """SHA-256 of canonical_json: equal for equal content, whatever the order in which fields are stored."""
+    return F.sha2(canonical_json(df, columns), 256)

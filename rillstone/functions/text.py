@@ -234,3 +234,9 @@ def has_repetition(c: Like, window: int = 10000, ratio: float = 10.0) -> Column:
     """Whether a long text's last stretch compresses more than tenfold; only long texts go to Python."""
     c = _c(c)
     return F.when(F.char_length(c) > window, zlib_ratio(F.when(F.char_length(c) > window, F.substring(c, -window, window))) > ratio).otherwise(False)
+
+
+def redacted(entries: Like, markers: tuple[str, ...] = ("key", "token", "secret", "password")) -> Column:
+    """A map with the values of names that contain a marker, in any case, replaced by "<redacted>"; null stays null."""
+    hidden = lambda k: F.lower(k).rlike("|".join(re.escape(m.lower()) for m in markers))
+    return F.transform_values(_c(entries), lambda k, v: F.when(hidden(k), F.lit("<redacted>")).otherwise(v))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillstone.plans import corpus, episodes, nested, rollouts
+from rillstone.plans import assembly, corpus, episodes, nested, rollouts
 
-QUERIES: dict = {**corpus.QUERIES, **episodes.QUERIES, **rollouts.QUERIES, **nested.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **episodes.ORACLES, **rollouts.ORACLES, **nested.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **episodes.QUERIES, **rollouts.QUERIES, **assembly.QUERIES, **nested.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **episodes.ORACLES, **rollouts.ORACLES, **assembly.ORACLES, **nested.ORACLES}

@@ -78,6 +78,12 @@ def sample_metrics(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("response_length"), 6).alias("mean_length"), F.round(F.percentile("response_length", 0.5), 6).alias("median_length"), F.round(F.avg((F.col("status") == "truncated").cast("double")), 6).alias("truncated"), F.count_if(text.has_repetition("response")).alias("repetitive"), F.round(F.avg(F.size(F.split(F.trim("response"), r"\s+"))), 6).alias("mean_words"))
 
 
+def length_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """sample_metrics without its look for repetitions, which SQL cannot express."""
+    s = samples(spark, d, "response", "response_length", "status")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("response_length"), 6).alias("mean_length"), F.round(F.percentile("response_length", 0.5), 6).alias("median_length"), F.round(F.avg((F.col("status") == "truncated").cast("double")), 6).alias("truncated"), F.round(F.avg(F.size(F.split(F.trim("response"), r"\s+"))), 6).alias("mean_words"))
+
+
 def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d, "group_index", "reward")
     g = s.groupBy("group_index").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.coalesce(F.col("reward.reward_value"), F.lit(0.0)) > 0.5).cast("int").alias("c"))
@@ -340,7 +346,7 @@ def running_reward(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        visible_answers, problem_counts, group_norm_rewards, group_verdicts, drop_reasons, breaker_state, zero_std_groups, reward_categories, family_summary, reward_distribution, sample_metrics, pass_at_k, decision_rewards, leakage_levels,
+        visible_answers, problem_counts, group_norm_rewards, group_verdicts, drop_reasons, breaker_state, zero_std_groups, reward_categories, family_summary, reward_distribution, sample_metrics, length_metrics, pass_at_k, decision_rewards, leakage_levels,
         ensemble_rewards, masked_means, kl_forms, gae_returns, importance_weights, mismatch_metrics, whitened_rewards, best_checkpoint, metric_deltas, task_schedule, balanced_assignment, target_flows, newest_groups, buffer_norm, buffer_groups,
         buffer_validity, buffer_meta, stream_group_buffer, retry_merge, label_join, group_tasks, parsed_decisions, answer_f1, graded_letters, first_fit_pack, kk_pack, sequence_packs, shards, replicated_prompts, embedding_topk, bm25_topk, prefix_match, prefix_match_whole,
         adversary_pairs, running_reward,
@@ -357,7 +363,29 @@ _VERDICT = """
 c AS (SELECT group_index, array_to_string(list_sort(list(k || '_' || n)), '+') AS why FROM (SELECT group_index, coalesce(reward.reward_category, 'invalid_reward') AS k, count(*) AS n FROM s WHERE NOT coalesce(reward.training_eligible, false) GROUP BY 1, 2) q GROUP BY 1),
 v AS (SELECT g.group_index, size, bad = 0 AND lo <> hi AS keep, CASE WHEN bad > 0 THEN 'ineligible_' || why WHEN lo = hi THEN 'zero_std' ELSE 'accepted' END AS reason, infra = size AS infra_failure FROM g LEFT JOIN c USING (group_index))"""
 
+_BARE = r"regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g')"
+_ARTICLE = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])(?:a|an|the)($|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])', '\1 \2', 'g')"
+
+
+def _answer_words(e: str) -> str:
+    """Twice, as two articles in a row share the blank between them."""
+    return f"regexp_extract_all({_ARTICLE.format(_ARTICLE.format(_BARE.format(e)))}, '[^\\s]+')"
+
+
 ORACLES = {
+    "answer_f1": f"""
+WITH w AS (SELECT id, answer, coalesce({_answer_words("question")}, []) AS p, coalesce({_answer_words("answer")}, []) AS t, coalesce(array_to_string({_answer_words("answer")}, ' ') = array_to_string({_answer_words("upper(answer)")}, ' '), false) AS em FROM reasoning_eval),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(t, lambda y: y = x))))), 0) AS c, array_to_string(p, ' ') AS a, array_to_string(t, ' ') AS b FROM w),
+k AS (SELECT *, c = 0 OR (a <> b AND (a IN ('yes', 'no', 'noanswer') OR b IN ('yes', 'no', 'noanswer'))) AS none FROM c)
+SELECT id, round(CASE WHEN none THEN 0.0 ELSE 2.0 * c / (len(p) + len(t)) END, 6) AS f1, round(CASE WHEN none THEN 0.0 ELSE c / len(p) END, 6) AS precision, round(CASE WHEN none THEN 0.0 ELSE c / len(t) END, 6) AS recall, em FROM k""",
+    "length_metrics": f"""WITH {_S} SELECT count(*) AS n, round(avg(response_length), 6) AS mean_length, round(median(response_length), 6) AS median_length, round(avg(CASE WHEN status IS NOT NULL THEN CAST(status = 'truncated' AS DOUBLE) END), 6) AS truncated,
+  round(avg(len(regexp_split_to_array(trim(response), '\\s+'))), 6) AS mean_words FROM s""",
+    "graded_letters": "SELECT id, CASE WHEN list_position(choices, answer) BETWEEN 1 AND len(choices) THEN chr(CAST(64 + list_position(choices, answer) AS INT)) WHEN len(choices) > 0 THEN 'A' END AS letter FROM reasoning_eval WHERE choices IS NOT NULL",
+    "parsed_decisions": f"""WITH {_S}, l AS (SELECT list_transform(list_filter(list_transform(string_split({_VIS}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(x, '^\\*\\*(.*)\\*\\*$', '\\1')) AS l FROM s WHERE label LIKE 'MIU:%' AND status = 'completed' AND response IS NOT NULL),
+p AS (SELECT nullif(regexp_extract(coalesce(l[1], ''), '^Decision: ([A-C])$', 1), '') AS letter, l[2:] AS r FROM l)
+SELECT CASE WHEN letter IS NULL THEN 'no_decision_line' WHEN len(r) < 1 THEN 'no_reason' WHEN len(r) > 4 THEN 'too_many_reasons' WHEN len(list_filter(r, lambda x: NOT starts_with(x, 'Reason: '))) > 0 THEN 'unexpected_line'
+  WHEN len(list_filter(r, lambda x: NOT regexp_matches(x, '\\[E\\d+\\]'))) > 0 THEN 'uncited_reason' WHEN len(list_filter(r, lambda x: trim(regexp_replace(regexp_replace(x, '^Reason:\\s*', ''), '\\s*\\[E\\d+\\]', '', 'g')) = '')) > 0 THEN 'empty_reason' ELSE 'valid' END AS outcome,
+  letter, count(*) AS n, CAST(sum(len(r)) AS BIGINT) AS reasons FROM p GROUP BY 1, 2""",
     "visible_answers": f'WITH {_S} SELECT "index", CAST(length({_VIS}) AS INT) AS visible_chars, {_PROBLEM} AS problem FROM s',
     "problem_counts": f"WITH {_S} SELECT {_PROBLEM} AS problem, count(*) AS n FROM s GROUP BY 1",
     "group_norm_rewards": f'WITH {_S} SELECT "index", round((reward.reward_value - avg(reward.reward_value) OVER w) / (stddev_samp(reward.reward_value) OVER w + 1e-6), 6) AS advantage FROM s WINDOW w AS (PARTITION BY group_index)',
