@@ -19,6 +19,18 @@ held AS (
 size AS (SELECT count(*) AS total FROM pool)
 """
 
+_CROSS = """
+WITH u AS (
+  SELECT id, lower(trim(split)) AS split, 'request' AS field, [user_natural_language] AS parts FROM miu_record
+  UNION ALL SELECT id, lower(trim(split)), 'cards', list_transform(clean_context, lambda c: c.content) FROM miu_record),
+p AS (SELECT field, id, split, unnest(parts) AS t FROM u WHERE id IS NOT NULL AND split IN ('train', 'val', 'test')),
+w AS (SELECT field, id, split, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM p WHERE t IS NOT NULL),
+s AS (SELECT DISTINCT field, id, split = 'train' AS train, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM w),
+n AS (SELECT field, id, count(DISTINCT g) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.field, a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.field = b.field AND a.g = b.g AND a.train AND NOT b.train AND a.id <> b.id GROUP BY ALL),
+pairs AS (SELECT DISTINCT least(c.x, c.y) AS id_1, greatest(c.x, c.y) AS id_2 FROM c JOIN n nx ON nx.field = c.field AND nx.id = c.x JOIN n ny ON ny.field = c.field AND ny.id = c.y WHERE 2 * c.c >= nx.n + ny.n - c.c)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _HELD
     + """SELECT plan_id, cell_id FROM held, size
@@ -31,16 +43,13 @@ SELECT plan_id, cell_id, n AS available, CAST(round(greatest(want - n, 0), 6) AS
 WITH m AS (SELECT id, max({_KEY.format("family_domain")}) AS f FROM miu_record WHERE id IS NOT NULL GROUP BY id)
 SELECT t.f AS family_domain, t.split, count(m.id) AS family_rows, true AS whole, true AS near FROM (SELECT {_KEY.format("family_domain")} AS f, lower(trim(split)) AS split FROM split_target) t LEFT JOIN m USING (f) GROUP BY ALL""",
     "p8_checks": "SELECT DISTINCT mix_id, source, true AS cap_kept, true AS share_kept FROM mix_target",
-    "p2_found": """
-WITH u AS (
-  SELECT id, lower(trim(split)) AS split, 'request' AS field, [user_natural_language] AS parts FROM miu_record
-  UNION ALL SELECT id, lower(trim(split)), 'cards', list_transform(clean_context, lambda c: c.content) FROM miu_record),
-p AS (SELECT field, id, split, unnest(parts) AS t FROM u WHERE id IS NOT NULL AND split IN ('train', 'val', 'test')),
-w AS (SELECT field, id, split, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM p WHERE t IS NOT NULL),
-s AS (SELECT DISTINCT field, id, split = 'train' AS train, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM w),
-n AS (SELECT field, id, count(DISTINCT g) AS n FROM s GROUP BY ALL),
-c AS (SELECT a.field, a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.field = b.field AND a.g = b.g AND a.train AND NOT b.train AND a.id <> b.id GROUP BY ALL)
-SELECT DISTINCT least(c.x, c.y) AS id_1, greatest(c.x, c.y) AS id_2 FROM c JOIN n nx ON nx.field = c.field AND nx.id = c.x JOIN n ny ON ny.field = c.field AND ny.id = c.y WHERE 2 * c.c >= nx.n + ny.n - c.c""",
+    "p2_found": _CROSS + "SELECT * FROM pairs",
+    "p2_report": _CROSS
+    + """, latest AS (SELECT record_id, max(attempt) AS a FROM audit_sidecar GROUP BY 1),
+d AS (SELECT DISTINCT s.record_id, r.source_ref.dataset AS source FROM audit_sidecar s JOIN latest l ON s.record_id = l.record_id AND s.attempt IS NOT DISTINCT FROM l.a, unnest(s.source_packet.facts) f(r) WHERE r.source_ref.dataset IS NOT NULL),
+e AS (SELECT id_1 AS id, id_1, id_2 FROM pairs UNION ALL SELECT id_2, id_1, id_2 FROM pairs),
+x AS (SELECT DISTINCT id, lower(trim(split)) AS split FROM miu_record)
+SELECT x.split, coalesce(d.source, 'none') AS source, count(DISTINCT (id_1, id_2)) AS pairs, count(DISTINCT e.id) AS records FROM e JOIN x ON e.id = x.id AND x.split IN ('val', 'test') LEFT JOIN d ON d.record_id = e.id GROUP BY 1, 2""",
     "p4_found": """
 WITH ids AS (SELECT DISTINCT id FROM miu_record WHERE id IS NOT NULL),
 latest AS (SELECT record_id, max(coalesce(attempt, -1)) AS a FROM audit_sidecar GROUP BY 1),
@@ -61,6 +70,13 @@ s AS (SELECT DISTINCT field, id, unnest(list_transform(range(1, len(w) - 1), lam
 n AS (SELECT field, id, count(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT a.field, a.id AS id_1, b.id AS id_2, count(*) AS c FROM s a JOIN s b ON a.field = b.field AND a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT c.field, id_1, id_2 FROM c JOIN n x ON x.field = c.field AND x.id = id_1 JOIN n y ON y.field = c.field AND y.id = id_2 WHERE 2 * c >= x.n + y.n - c""",
+    "p9_coverage": """
+WITH w AS (SELECT DISTINCT doc_id, i, substr(text, i, 230) AS s FROM documents, unnest(range(1, length(text) - 228)) u(i) WHERE length(text) >= 230 AND doc_id IS NOT NULL),
+g AS (SELECT s FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), k AS (SELECT DISTINCT doc_id, i FROM w JOIN g USING (s)),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM k),
+c AS (SELECT doc_id, count(*) FILTER (WHERE p IS NULL OR i > p + 230) AS spans, sum(CASE WHEN p IS NULL OR i >= p + 230 THEN 230 ELSE i - p END) AS shared FROM o GROUP BY 1),
+n AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT doc_id, n_chars, coalesce(spans, 0) AS spans, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared, 0) / n_chars END AS share FROM n LEFT JOIN c USING (doc_id)""",
     "p9_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 230) AS s FROM documents, unnest(range(1, length(text) - 228)) u(i) WHERE length(text) >= 230),
 g AS (SELECT s FROM w GROUP BY 1 HAVING count(*) > 1), k AS (SELECT w.* FROM w JOIN g USING (s))
