@@ -54,14 +54,28 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+_own_folders: set[str] = set()
+
+
 def own_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/rillstone-{spark.sparkContext.applicationId}"
+    """Where this application's tables stand. It is deleted when the driver's Python ends in the usual way."""
+    folder = f"{shared_folder(spark)}/rillstone-{spark.sparkContext.applicationId}"
+    if folder not in _own_folders:
+        _own_folders.add(folder)
+        atexit.register(_delete, spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration())
+    return folder
+
+
+def _delete(path, configuration) -> None:
+    try:
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # the JVM may have gone first; then the folder stays
+        pass
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete the tables this application has materialised; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables this application has materialised; call it between jobs once their results are written."""
+    _delete(spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark)), spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -79,8 +93,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that no later step reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stands_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    spark = df.sparkSession
+    _delete(spark._jvm.org.apache.hadoop.fs.Path(df._stands_at), spark._jsc.hadoopConfiguration())
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -277,3 +277,28 @@ def test_mapped_share(spark):
     df = spark.createDataFrame([("f", [["a", "b"], ["other"], ["a"]]), ("f", None), ("g", []), (None, [["other"]])], "f string, t array<array<string>>")
     got = {r.grp: (r.fields, r.unmapped, r.mapped_rate) for r in stats.mapped_share(df, "t", "f").collect()}
     assert got == {"(all)": (4, 2, 0.5), "f": (3, 1, 0.6667), "g": (0, 0, None), "(null)": (1, 1, 0.0)}
+
+
+def test_materialised_tables_are_given_up(tmp_path):
+    """forget and discard delete them, and so does the end of the driver; in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from rillstone import session
+SparkSession.builder.config("spark.checkpoint.dir", {str(tmp_path)!r})
+spark = session.local_session(1, 1, "512m")
+one, two = (session.materialize(spark.range(3), n) for n in ("one", "two"))
+session.discard(one)
+left = os.listdir(session.own_folder(spark))
+assert len(left) == 1 and left[0].startswith("two") and two.count() == 3
+session.forget(spark)
+assert not os.path.exists(session.own_folder(spark))
+session.materialize(spark.range(3), "three")
+assert os.listdir(session.own_folder(spark))
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+    assert os.listdir(tmp_path) == []
