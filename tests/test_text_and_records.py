@@ -53,6 +53,12 @@ def test_graders(spark, one):
     for a, b in (("\\frac12", "0.5"), ("1,000", "1000"), ("(1, 2)", "(1,2.0)"), ("x = 5", "5"), ("5 \\text{ cm}", "5"), (".5", "1/2")):
         assert graders.math_equal(a, b), (a, b)
     assert not graders.math_equal("(1,2)", "[1,2]") and not graders.math_equal(None, "1") and not graders.math_equal("", "")
+    finals = {"x = 1,234 dollars": "1234", "$\\frac12$ of it": "\\frac{1}{2}", "\\text{ 42 }": "42", "a \\sqrt2": "\\sqrt{2}", "\\boxed{\\frac{a}{b}}": "\\frac{a}{b}", "90^\\circ": "90", "see $x$ there": "x", "\\mbox{cm} 7 cm": "7", "12,5": "125", "1,2.5": "1,2.5", "": ""}
+    got = spark.createDataFrame([(k,) for k in finals], "t string").select("t", graders.plain_final("t").alias("p")).collect()
+    assert {r.t: r.p for r in got} == finals
+    scored = [("Answer: 4\nso ANSWER : 1,234 dollars", "1234.0", 1.0), ("Answer: 12", "12.9", 1.0), ("Answer: -3", "-3.2", 1.0), ("answer is 4", "4", -1.0), ("Answer: 4" + " " * 300, "4", -1.0), (None, "4", -1.0), ("Answer: 4", None, -1.0), ("Answer: x", "x", -1.0)]
+    df = spark.createDataFrame([x[:2] for x in scored], "t string, g string")
+    assert [r[0] for r in df.select(graders.whole_answer_score("t", "g")).collect()] == [x[2] for x in scored]
     df = spark.createDataFrame([("so \\boxed{4}", "4"), ("Answer: 5", "4"), (None, "4")], "t string, g string")
     assert [r[0] for r in df.select(graders.math_reward("t", "g")).collect()] == [1.0, -1.0, -1.0]
     ok = "<think>a</think><search>q</search><information>i</information><think>b</think><answer>c</answer>"
