@@ -393,10 +393,12 @@ def prefix_candidates(sets: DataFrame, s: Settings) -> DataFrame:
     """
     t = s.threshold
     each = sets.select("comp", "cls", "sides", "size", F.explode("shingles").alias("s"))
-    often = each.groupBy("comp", "s").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(often, ["comp", "s"]).groupBy("comp", "cls", "sides", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ds"))
-    first = F.slice("ds", F.lit(1), (F.col("size") - F.ceil(F.col("size") * t) + 1).cast("int"))
-    prefix = ordered.select("comp", "cls", "sides", "size", F.posexplode(first).alias("at", "d")).where("d.df > 1").select("comp", "cls", "sides", "size", "at", F.col("d.s").alias("s"))
+    often = each.groupBy("comp", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles that stand once come first and meet nobody: only their number counts.
+    shared = each.join(often, ["comp", "s"]).groupBy("comp", "cls", "sides", "size").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ds"))
+    alone = F.col("size") - F.size("ds")
+    first = F.slice("ds", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * t) + 1 - alone, F.lit(0)).cast("int"))
+    prefix = shared.select("comp", "cls", "sides", "size", alone.alias("alone"), F.posexplode(first).alias("at", "d")).select("comp", "cls", "sides", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("d.s").alias("s"))
     met = prefix.alias("a").join(prefix.alias("b"), _matching("a", "b", s) & (F.col("a.s") == F.col("b.s")))
     left = lambda x: F.max(F.col(f"{x}.at")).alias(f"{x}_last")
     seen = met.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.size").alias("an"), F.col("b.size").alias("bn")).agg(F.count(F.lit(1)).alias("n"), left("a"), left("b"))
