@@ -115,8 +115,3 @@ def split_packs(df: DataFrame, pack: list[str], values: str = "tokens", cu: str
     spans = F.transform(F.sequence(F.lit(1), F.size(cu) - 1), lambda i: F.struct((i - 1).alias("seq"), F.element_at(cu, i).alias("a"), F.element_at(cu, i + 1).alias("b")))
     rows = df.where(F.size(cu) > 1).select(*pack, values, F.explode(spans).alias("s"))
     return rows.select(*pack, "s.seq", F.slice(values, (F.col("s.a") + 1).cast("int"), (F.col("s.b") - F.col("s.a")).cast("int")).alias(values))
-
-
-def rank_slices(items: Iterator[int], rank: int, size: int) -> list[int]:
-    """Every size-th item from rank on."""
-    return [x for i, x in enumerate(items) if i % size == rank]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.operators.nested import child_rows, flat_tables
+from rillstone.operators.nested import ENVELOPES, RECORD_MARKS, WRAPPERS, child_rows, flat_tables
 from rillstone.sources.tables import table
 
 
@@ -56,7 +56,62 @@ def p5_typed_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_cards, p5_constraints, p5_records, p5_tables, p5_typed_rows)}
 
+def _decoded_sql(e: str, times: int = 2) -> str:
+    """JSON text inside JSON text, read a few times over; other text stays."""
+    for _ in range(times):
+        e = f"(CASE WHEN json_type({e}) = 'VARCHAR' AND json_type(TRY_CAST({e} ->> '$' AS JSON)) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN TRY_CAST({e} ->> '$' AS JSON) ELSE {e} END)"
+    return e
+
+
+def _has_sql(e: str, keys: tuple[str, ...]) -> str:
+    return " OR ".join(f"json_exists({e}, '$.{k}')" for k in keys)
+
+
+def _first_sql(e: str, keys: tuple[str, ...], kinds: str) -> str:
+    """The value of the first of the keys that is of one of the kinds."""
+    cases = [f"CASE WHEN json_type({_decoded_sql(f'({e} -> {key})', 1)}) IN ({kinds}) THEN {e} -> {key} END" for key in (f"'$.{k}'" for k in keys)]
+    return "coalesce(" + ", ".join(cases) + ")"
+
+
+#: The record of each readable payload, out of its envelopes and encodings.
+_RECORDS = f"""
+RECURSIVE u AS (
+  SELECT raw_id, TRY_CAST(payload AS JSON) AS j, 0 AS k FROM miu_raw
+  UNION ALL SELECT raw_id, next, k + 1 FROM (
+    SELECT raw_id, k, CASE json_type(j) WHEN 'VARCHAR' THEN TRY_CAST(j ->> '$' AS JSON) WHEN 'ARRAY' THEN CASE WHEN json_array_length(j) = 1 THEN j -> 0 END
+      WHEN 'OBJECT' THEN CASE WHEN NOT ({_has_sql("j", RECORD_MARKS)}) THEN {_first_sql("j", ENVELOPES, "'OBJECT', 'ARRAY', 'VARCHAR'")} END END AS next FROM u WHERE j IS NOT NULL) q WHERE next IS NOT NULL),
+r AS (SELECT raw_id, j FROM (SELECT raw_id, arg_max(j, k) AS j FROM u WHERE j IS NOT NULL GROUP BY 1) q WHERE json_type(j) = 'OBJECT')"""
+
+
+def _leaf_sql(e: str, path: str) -> str:
+    return f"CASE WHEN json_type({e}, '$.{path}') NOT IN ('OBJECT', 'ARRAY') THEN {e} ->> '$.{path}' END"
+
+
+def _cards_sql(part: str, kind: str, marks: tuple[str, ...]) -> str:
+    """The elements of a list in any of its shapes: a list, a wrapper with a single key, an object keyed by ids, one element."""
+    place = f"'$.{part}'"
+    inner = _first_sql("c", WRAPPERS, "'OBJECT', 'ARRAY', 'VARCHAR'")
+    one = _decoded_sql("w", 1)
+    return f"""SELECT raw_id, '{kind}' AS kind, coalesce(key, nullif(CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.id' ELSE v ->> '$' END, ''), '#' || nth) AS child_ref,
+  {_leaf_sql("v", "content")} AS content, {_leaf_sql("v", "provenance.source_ref.dataset")} AS dataset, {_leaf_sql("v", "provenance.source_ref.locator")} AS locator
+FROM (SELECT raw_id, e.nth AS nth, e.key AS key, {_decoded_sql("e.one")} AS v FROM (SELECT raw_id, unnest(CASE json_type(c)
+    WHEN 'ARRAY' THEN list_transform(range(1, CAST(json_array_length(c) AS BIGINT) + 1), lambda i: struct_pack(nth := i, key := CAST(NULL AS VARCHAR), one := json_extract(c, '$[' || (i - 1) || ']')))
+    WHEN 'OBJECT' THEN CASE WHEN {_has_sql("c", ("id", *marks))} THEN [struct_pack(nth := CAST(1 AS BIGINT), key := CAST(NULL AS VARCHAR), one := c)]
+      ELSE list_transform(json_keys(c), lambda k, i: struct_pack(nth := CAST(i AS BIGINT), key := k, one := json_extract(c, '/' || replace(replace(k, '~', '~0'), '/', '~1')))) END
+    WHEN 'NULL' THEN [] ELSE [struct_pack(nth := CAST(1 AS BIGINT), key := CAST(NULL AS VARCHAR), one := c)] END) AS e
+  FROM (SELECT raw_id, CASE WHEN json_type(c) = 'OBJECT' AND len(json_keys(c)) = 1 AND w IS NOT NULL AND NOT ({_has_sql("c", ("id", *marks))}) AND NOT (json_type({one}) = 'OBJECT' AND ({_has_sql(one, marks)})) THEN {one} ELSE c END AS c
+    FROM (SELECT *, {inner} AS w FROM (SELECT raw_id, {_decoded_sql(f"(j -> {place})")} AS c FROM r) q0) q WHERE c IS NOT NULL) q2) x) y WHERE json_type(v) <> 'NULL'"""
+
+
+_CARD_MARKS = ("content", "authorized_by", "attack", "provenance")
+_BASELINE = _decoded_sql("(j -> '$.baseline_decision')")
+
 ORACLES = {
+    "p5_records": f"""WITH {_RECORDS}, b AS (SELECT *, {_BASELINE} AS b FROM r)
+SELECT raw_id, """
+    + ", ".join(f"{_leaf_sql('j', c)} AS {c}" for c in ("id", "mechanism", "family_domain", "subscenario", "split"))
+    + f""", {_leaf_sql("b", "decision")} AS decision, {_leaf_sql("b", "conclusion")} AS conclusion FROM b""",
+    "p5_cards": f"""WITH {_RECORDS} {_cards_sql("clean_context", "clean", _CARD_MARKS)} UNION ALL {_cards_sql("manipulated_context", "manipulated", _CARD_MARKS)}""",
     "p5_typed_rows": """
 WITH u AS (
   SELECT id, 'options' AS child_table, i AS pos, decision_boundary.options[i].id AS ref, decision_boundary.options[i] IS NULL AS gone
