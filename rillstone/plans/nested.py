@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.operators.nested import ENVELOPES, RECORD_MARKS, WRAPPERS, child_rows, flat_tables
+from rillstone.operators.nested import ENVELOPES, MIU_TABLES, RECORD_MARKS, WRAPPERS, child_rows, flat_tables
 from rillstone.sources.tables import table
 
 
@@ -59,7 +59,7 @@ QUERIES = {f.__name__: f for f in (p5_found, p5_cards, p5_constraints, p5_record
 def _decoded_sql(e: str, times: int = 2) -> str:
     """JSON text inside JSON text, read a few times over; other text stays."""
     for _ in range(times):
-        e = f"(CASE WHEN json_type({e}) = 'VARCHAR' AND json_type(TRY_CAST({e} ->> '$' AS JSON)) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN TRY_CAST({e} ->> '$' AS JSON) ELSE {e} END)"
+        e = f"list_transform([{e}], lambda x: CASE WHEN json_type(x) = 'VARCHAR' AND json_type(TRY_CAST(x ->> '$' AS JSON)) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN TRY_CAST(x ->> '$' AS JSON) ELSE x END)[1]"
     return e
 
 
@@ -83,27 +83,53 @@ RECURSIVE u AS (
 r AS (SELECT raw_id, j FROM (SELECT raw_id, arg_max(j, k) AS j FROM u WHERE j IS NOT NULL GROUP BY 1) q WHERE json_type(j) = 'OBJECT')"""
 
 
+#: A member by its key k.
+_KEYED = "json_extract({0}, '/' || replace(replace(k, '~', '~0'), '/', '~1'))"
+
+
 def _leaf_sql(e: str, path: str) -> str:
     return f"CASE WHEN json_type({e}, '$.{path}') NOT IN ('OBJECT', 'ARRAY') THEN {e} ->> '$.{path}' END"
 
 
-def _cards_sql(part: str, kind: str, marks: tuple[str, ...]) -> str:
-    """The elements of a list in any of its shapes: a list, a wrapper with a single key, an object keyed by ids, one element."""
-    place = f"'$.{part}'"
-    inner = _first_sql("c", WRAPPERS, "'OBJECT', 'ARRAY', 'VARCHAR'")
-    one = _decoded_sql("w", 1)
-    return f"""SELECT raw_id, '{kind}' AS kind, coalesce(key, nullif(CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.id' ELSE v ->> '$' END, ''), '#' || nth) AS child_ref,
-  {_leaf_sql("v", "content")} AS content, {_leaf_sql("v", "provenance.source_ref.dataset")} AS dataset, {_leaf_sql("v", "provenance.source_ref.locator")} AS locator
-FROM (SELECT raw_id, e.nth AS nth, e.key AS key, {_decoded_sql("e.one")} AS v FROM (SELECT raw_id, unnest(CASE json_type(c)
+def _list_sql(rows: str, path: tuple[str, ...], marks: tuple[str, ...]) -> str:
+    """(raw_id, parent_ref, child_ref, v): the elements of a list below each row (raw_id, ref, v), in any of its shapes: a
+    list, a wrapper with a single key, an object keyed by ids, one element; also where its wrapper should stand."""
+    marked = lambda e: f"({_has_sql(e, marks)})" if marks else "false"
+    spot = f"(v -> '$.{path[0]}')"
+    for step in path[1:]:
+        x = _decoded_sql(spot)
+        any_marked = f"len(list_filter(json_keys({x}), lambda k: {marked(_decoded_sql(_KEYED.format(x), 1))})) > 0"
+        spot = f"(CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN CASE WHEN json_exists({x}, '$.{step}') THEN {x} -> '$.{step}' WHEN {any_marked} THEN {x} END END)"
+    inner, one = _first_sql("c", WRAPPERS, "'OBJECT', 'ARRAY', 'VARCHAR'"), _decoded_sql("w", 1)
+    return f"""SELECT raw_id, ref AS parent_ref, coalesce(key, nullif(CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.id' ELSE v ->> '$' END, ''), '#' || nth) AS child_ref, v
+FROM (SELECT raw_id, ref, e.nth AS nth, e.key AS key, {_decoded_sql("e.one")} AS v FROM (SELECT raw_id, ref, unnest(CASE json_type(c)
     WHEN 'ARRAY' THEN list_transform(range(1, CAST(json_array_length(c) AS BIGINT) + 1), lambda i: struct_pack(nth := i, key := CAST(NULL AS VARCHAR), one := json_extract(c, '$[' || (i - 1) || ']')))
-    WHEN 'OBJECT' THEN CASE WHEN {_has_sql("c", ("id", *marks))} THEN [struct_pack(nth := CAST(1 AS BIGINT), key := CAST(NULL AS VARCHAR), one := c)]
-      ELSE list_transform(json_keys(c), lambda k, i: struct_pack(nth := CAST(i AS BIGINT), key := k, one := json_extract(c, '/' || replace(replace(k, '~', '~0'), '/', '~1')))) END
+    WHEN 'OBJECT' THEN CASE WHEN json_exists(c, '$.id') OR {marked("c")} THEN [struct_pack(nth := CAST(1 AS BIGINT), key := CAST(NULL AS VARCHAR), one := c)]
+      ELSE list_transform(json_keys(c), lambda k, i: struct_pack(nth := CAST(i AS BIGINT), key := k, one := {_KEYED.format("c")})) END
     WHEN 'NULL' THEN [] ELSE [struct_pack(nth := CAST(1 AS BIGINT), key := CAST(NULL AS VARCHAR), one := c)] END) AS e
-  FROM (SELECT raw_id, CASE WHEN json_type(c) = 'OBJECT' AND len(json_keys(c)) = 1 AND w IS NOT NULL AND NOT ({_has_sql("c", ("id", *marks))}) AND NOT (json_type({one}) = 'OBJECT' AND ({_has_sql(one, marks)})) THEN {one} ELSE c END AS c
-    FROM (SELECT *, {inner} AS w FROM (SELECT raw_id, {_decoded_sql(f"(j -> {place})")} AS c FROM r) q0) q WHERE c IS NOT NULL) q2) x) y WHERE json_type(v) <> 'NULL'"""
+  FROM (SELECT raw_id, ref, CASE WHEN json_type(c) = 'OBJECT' AND len(json_keys(c)) = 1 AND w IS NOT NULL AND NOT (json_exists(c, '$.id') OR {marked("c")}) AND NOT (json_type({one}) = 'OBJECT' AND {marked(one)}) THEN {one} ELSE c END AS c
+    FROM (SELECT *, {inner} AS w FROM (SELECT raw_id, ref, {_decoded_sql("spot")} AS c FROM (SELECT raw_id, ref, {spot} AS spot FROM {rows}) q1) q0) q WHERE c IS NOT NULL) q2) x) y WHERE json_type(v) <> 'NULL'"""
+
+
+def _tables_sql() -> tuple[str, str]:
+    """The child tables as named queries over the records, and their union."""
+    named, union, rest = [f"{_RECORDS}", "top AS (SELECT raw_id, '' AS ref, j AS v FROM r)"], [], [("top", t) for t in MIU_TABLES]
+    while rest:
+        above, t = rest.pop(0)
+        own = "t_" + t.name.replace(".", "_")
+        named += [f"{own} AS ({_list_sql(above, t.path, t.marks)})", f"{own}_rows AS (SELECT raw_id, child_ref AS ref, v FROM {own})"]
+        union.append(f"SELECT raw_id, '{t.name}' AS child_table, parent_ref, child_ref FROM {own}")
+        rest += [(f"{own}_rows", b) for b in t.below]
+    return ",\n".join(named), "\nUNION ALL ".join(union)
+
+
+_NAMED, _UNION = _tables_sql()
+
+
+def _cards_sql(part: str, kind: str) -> str:
+    return f"SELECT raw_id, '{kind}' AS kind, child_ref, {_leaf_sql('v', 'content')} AS content, {_leaf_sql('v', 'provenance.source_ref.dataset')} AS dataset, {_leaf_sql('v', 'provenance.source_ref.locator')} AS locator FROM t_{part}"
 
 
-_CARD_MARKS = ("content", "authorized_by", "attack", "provenance")
 _BASELINE = _decoded_sql("(j -> '$.baseline_decision')")
 
 ORACLES = {
@@ -111,7 +137,11 @@ ORACLES = {
 SELECT raw_id, """
     + ", ".join(f"{_leaf_sql('j', c)} AS {c}" for c in ("id", "mechanism", "family_domain", "subscenario", "split"))
     + f""", {_leaf_sql("b", "decision")} AS decision, {_leaf_sql("b", "conclusion")} AS conclusion FROM b""",
-    "p5_cards": f"""WITH {_RECORDS} {_cards_sql("clean_context", "clean", _CARD_MARKS)} UNION ALL {_cards_sql("manipulated_context", "manipulated", _CARD_MARKS)}""",
+    "p5_cards": f"WITH {_NAMED} {_cards_sql('clean_context', 'clean')} UNION ALL {_cards_sql('manipulated_context', 'manipulated')}",
+    "p5_found": f"WITH {_NAMED} {_UNION}",
+    # The constraints of one record have different references in these tables.
+    "p5_constraints": f"""WITH {_NAMED}, n AS (SELECT raw_id, parent_ref, count(*) AS n FROM t_per_constraint_evidence GROUP BY 1, 2)
+SELECT c.raw_id, c.child_ref, {_leaf_sql("c.v", "status")} AS status, coalesce(n.n, 0) AS n_evidence FROM t_per_constraint c LEFT JOIN n ON n.raw_id = c.raw_id AND n.parent_ref = c.child_ref""",
     "p5_typed_rows": """
 WITH u AS (
   SELECT id, 'options' AS child_table, i AS pos, decision_boundary.options[i].id AS ref, decision_boundary.options[i] IS NULL AS gone
