@@ -38,8 +38,8 @@ from rillstone.session import materialize, spread
 PROBES = 64
 FULL32 = np.uint32(0xFFFFFFFF)
 CHUNK_ROWS, CHUNK_CHARS = 2048, 1 << 20
-#: Bucket entries (of about 17 bytes) that a link task should read at most, and those that a map task links and packs together.
-TASK_ENTRIES, HELD_ENTRIES = 1 << 22, 1 << 20
+#: Bytes of a bucket entry, and how many entries a map task links and packs together.
+ENTRY_BYTES, HELD_ENTRIES = 17, 1 << 20
 #: Groups of so many classes are compared two by two; a class then meets at most as many others.
 SMALL_GROUP = 24
 
@@ -257,10 +257,12 @@ def candidate_links(units: DataFrame, s: Settings, texts: int) -> DataFrame:
     """Star-shaped candidate links between classes that share a bucket: (a, b), a < b, distinct.
 
     With cross, a bucket counts only if both sides are in it. texts: about how many there are; where
-    the session's partitions would be too few for their entries, there are more.
+    their entries would exceed the session's advisory size in its partitions, there are more. Shards
+    go to the partitions in turn, each to as many, not by hash.
     """
-    usual = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(usual, texts * s.bands // TASK_ENTRIES)
+    spark = units.sparkSession
+    wanted = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * s.bands * ENTRY_BYTES // wanted)
     # Several shards for each partition even out their sizes; very many would make the blobs tiny.
     shards = min(16 * partitions, max(4 * partitions, 1024))
     columns = ("keys", "fine", "a", "b")
@@ -332,8 +334,7 @@ def candidate_links(units: DataFrame, s: Settings, texts: int) -> DataFrame:
             yield done()
 
     packed = units.select("field", "id", F.col("side").cast("int"), "parts").mapInArrow(pack, "shard int, keys binary, fine binary, a binary, b binary")
-    spread_out = packed.repartition("shard") if partitions == usual else packed.repartition(partitions, "shard")
-    return spread_out.sortWithinPartitions("shard").mapInArrow(link, "a long, b long").distinct()
+    return packed.repartitionById(partitions, F.col("shard") % partitions).sortWithinPartitions("shard").mapInArrow(link, "a long, b long").distinct()
 
 
 def _agreement(bytes_: int):
