@@ -122,10 +122,10 @@ def sample_by_targets(pool: DataFrame, targets: DataFrame, seed: int = 97) -> Ca
     keeping every sum between its floor and ceiling; records are taken in a hashed order within
     their kind, each at most once per plan. A null category of a record equals nothing. An empty
     pool leaves every cell with a positive demand short. A cell with null numbers demands
-    nothing. The driver holds the plans' cells and one count per distinct set of cells, never a
+    nothing; a target without a cell_id is left out. The driver holds the plans' cells and one count per distinct set of cells, never a
     record.
     """
-    spark = pool.sparkSession
+    spark, targets = pool.sparkSession, targets.where("cell_id is not null")
     pool = materialize(pool, "pool")
     held, kinds = _kinds(pool, targets)
     held = materialize(held, "kinds")

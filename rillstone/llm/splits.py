@@ -161,7 +161,7 @@ def assign_splits(miu: DataFrame, sidecar: DataFrame, targets: DataFrame, seed:
     groups from the largest groups down, passing each remainder on; and the groups of a bundle are
     taken in a hashed order. Single records come last, in a second flow over what the larger groups,
     counted record by record, have left of each quota. Null and unlisted families go to train.
-    Repeated rows count once; an empty table gives empty results. The driver holds one row per
+    Repeated rows count once; targets without a split are left out; an empty table gives empty results. The driver holds one row per
     bundle: labels times distinct sizes, of which n records have at most sqrt(2 n) per label.
     """
     spark = miu.sparkSession
@@ -173,6 +173,7 @@ def assign_splits(miu: DataFrame, sidecar: DataFrame, targets: DataFrame, seed:
     named = materialize(named.select("group_id", "size", F.col("label.family_domain").alias("family"), F.col("label.subscenario").alias("scenario")), "labelled-groups")
     chosen = named.withColumn("bundle", F.concat_ws("|", F.coalesce("family", F.lit("\u0001")), F.coalesce("scenario", F.lit("\u0001")), F.col("size").cast("string")))
     shares: dict[str, dict[str, int]] = defaultdict(dict)
+    targets = targets.where("split is not null")
     for r in targets.select(category_key(F.col("family_domain")).alias("f"), F.lower(F.trim("split")).alias("s"), "share_pm").collect():
         shares[r.f][r.s] = r.share_pm or 0
     # One row per bundle (labels times sizes), one total per label.

@@ -34,10 +34,10 @@ CELLS = [("p", 1, "MIU", None, None, 300, 5, 500), ("p", 2, "EIL", "redress", No
 
 def test_sample_matches_brute_force_and_quotas(spark, pool_rows):
     pool = record_pool(spark.createDataFrame(pool_rows, RECORD))
-    out = sample_by_targets(pool, spark.createDataFrame(CELLS, TARGET))
+    out = sample_by_targets(pool, spark.createDataFrame([*CELLS, CELLS[0], ("p", None, "MIU", None, None, 10, 1, 10), (None, 9, None, None, None, None, None, None)], TARGET))
     own = {i: tuple(map(key, c)) for i, *c, _ in pool_rows if i}
     inside = {c[1]: {i for i, k in own.items() if all(w is None or key(w) == v for w, v in zip(c[2:5], k))} for c in CELLS}
-    report = {r.cell_id: r for r in out.report.collect()}
+    report = {r.cell_id: r for r in out.report.where("plan_id is not null").collect()}
     for c in CELLS:
         short = len(inside[c[1]]) * 1_000_000 < (c[5] or 0) * (c[7] or 0) * len(own) or len(inside[c[1]]) < (c[6] or 0)
         assert report[c[1]].available == len(inside[c[1]]) and report[c[1]].cannot_meet == short, c
@@ -176,7 +176,7 @@ def test_groups_and_torn_groups(spark):
 
 def test_new_splits_keep_groups_and_shares(spark):
     miu, side = tied()
-    targets = spark.createDataFrame([(f, s, n) for f in ("fin", "Com Merce") for s, n in (("train", 800), ("val", 100), ("test", 100))], "family_domain string, split string, share_pm int")
+    targets = spark.createDataFrame([(f, s, n) for f in ("fin", "Com Merce") for s, n in (("train", 800), ("val", 100), ("test", 100))] + [("fin", None, 7)], "family_domain string, split string, share_pm int")
     new = assign_splits(spark.createDataFrame(miu, MIU), spark.createDataFrame(side, REF), targets)
     rows = new.assigned.collect()
     assert len(rows) == 300 and len({r.id for r in rows}) == 300
