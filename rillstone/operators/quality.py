@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import stats, text
 from rillstone.functions.taxonomies import ATTACK_TAGS, AUTHORITY_TAGS, LEVERAGE_TAGS, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES
-from rillstone.session import materialize
 
 
 @dataclass(frozen=True)
@@ -187,35 +186,3 @@ def position_roles(miu: DataFrame) -> DataFrame:
     """Displayed position and hidden role of each visible card, for the position leak."""
     clean = F.coalesce(F.transform("clean_context", lambda c: c["content"]), F.array().cast("array<string>"))
     return miu.select("id", clean.alias("clean"), F.posexplode("external_information").alias("pos", "x")).select("id", F.col("pos").cast("string").alias("left"), F.when(F.array_contains("clean", F.col("x.content")), "clean").otherwise("manipulated").alias("right"))
-
-
-def earlier_similar(df: DataFrame, key: str, order: str, request: str, threshold: float = 0.48, n: int = 5) -> DataFrame:
-    """(key, earlier): rows whose request opens with the same n words as an earlier row's, or whose
-    n-gram Jaccard with it is at least the threshold; each with its earliest such row.
-
-    Candidates meet on a shared n-gram of their prefix, the first size - ceil(t size) + 1 with the rarest
-    of all requests first, so that a phrase of a template stands behind a request's own words; of those,
-    only pairs whose shared prefix leaves enough for the threshold are compared. The order is by the
-    column, ties by key.
-    """
-    t = df.select(F.col(key).alias("k"), F.col(order).alias("o"), text.ascii_tokens(request).alias("tok")).where(F.size("tok") >= n)
-    s = t.select("k", "o", F.array_join(F.slice("tok", 1, n), " ").alias("opening"), F.transform(text.shingles(F.col("tok"), n), lambda x: F.xxhash64(x)).alias("s"))
-    s = materialize(s, "shingles")
-    each = s.select("k", "o", F.size("s").alias("size"), F.explode("s").alias("g"))
-    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Shingles that stand once come first and meet nobody: only their number counts.
-    ranked = each.join(often, "g").groupBy("k", "o", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"))
-    alone = F.col("size") - F.size("shared")
-    first = F.slice("shared", F.lit(1), F.greatest(F.col("size") - F.ceil(F.col("size") * threshold) + 1 - alone, F.lit(0)).cast("int"))
-    prefix = ranked.select("k", "o", "size", alone.alias("alone"), F.posexplode(first).alias("at", "d")).select("k", "o", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("d.g").alias("g"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    later = F.struct("a.o", "a.k") > F.struct("b.o", "b.k")
-    sized = F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size")
-    seen = a.join(b, (F.col("a.g") == F.col("b.g")) & later & sized).groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("e"), F.col("a.size").alias("m"), F.col("b.size").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max("a.at").alias("x"), F.max("b.at").alias("y"))
-    possible = F.col("c") + F.least(F.col("m") - F.col("x"), F.col("n") - F.col("y")) - 1
-    met = seen.where(possible >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-6).select("k", "e")
-    scored = met.join(s.select("k", F.col("s").alias("x")), "k").join(s.select(F.col("k").alias("e"), F.col("o").alias("eo"), F.col("s").alias("y")), "e")
-    close = scored.where(text.jaccard(F.col("x"), F.col("y")) >= threshold).select("k", "e", "eo")
-    first = s.groupBy("opening").agg(F.min(F.struct("o", "k")).alias("f"))
-    same = s.join(first, "opening").where(F.struct("o", "k") > F.col("f")).select("k", F.col("f.k").alias("e"), F.col("f.o").alias("eo"))
-    return close.unionAll(same).groupBy("k").agg(F.min(F.struct("eo", "e")).alias("m")).select(F.col("k").alias(key), F.col("m.e").alias("earlier"))

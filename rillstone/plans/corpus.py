@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import hashing, stats, text
 from rillstone.functions.taxonomies import ATTACK_TAGS, BOUNDARY_CUES, LEVERAGE_TAGS, NECESSARY_TAGS, RELEASE_BOUNDARY_CUES, STOPWORDS
-from rillstone.operators import merging, planning, quality
+from rillstone.operators import merging, planning, quality, similar
 from rillstone.operators.selection import first_by_hash
 from rillstone.session import materialize
 from rillstone.sources.tables import table
@@ -167,8 +167,8 @@ def anchor_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def earlier_similar_requests(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "miu_record", "id", "user_natural_language").where("id is not null").dropDuplicates(["id"])
-    return quality.earlier_similar(m, "id", "id", "user_natural_language")
+    m = table(spark, d, "miu_record", "id", "user_natural_language").where("id is not null")
+    return similar.earlier_similar(m, "id", "id", "user_natural_language")
 
 
 def sidecar_profile_mismatches(spark: SparkSession, d: str) -> DataFrame:
