@@ -14,7 +14,7 @@ from rillstone.functions import text
 from rillstone.session import materialize
 
 #: Shingles that a pair must share in its prefixes, which are longer by as many less one. Pairs held at once.
-SHARED, PAIR_BLOCK = 5, 1 << 21
+SHARED, PAIR_BLOCK = 8, 1 << 21
 SEGMENT = 1 << 12
 Batches = Iterator[pa.RecordBatch]
 
@@ -67,8 +67,7 @@ def earlier_similar(df: DataFrame, key: str, order: str, request: str, threshold
     sets = words.mapInArrow(whole, "d binary, s array<long>").groupBy("d").agg(F.first("s").alias("s"))
     one, other = (classes.select(F.col("h").alias(c), F.struct("f", "d").alias(f"c{c}")) for c in "ab")
     pairs = near.join(one, "a").join(other, "b").where("ca.d <> cb.d").select(F.greatest("ca", "cb").alias("x"), F.least("ca", "cb").alias("y"))
-    sets = materialize(sets.join(classes.select("d"), "d", "left_semi"), "sets")
-    scored = pairs.distinct().join(sets.select(F.col("d").alias("xd"), F.col("s").alias("xs")), F.col("x.d") == F.col("xd")).join(sets.select(F.col("d").alias("yd"), F.col("s").alias("ys")), F.col("y.d") == F.col("yd"))
+    scored = pairs.join(sets.select(F.col("d").alias("xd"), F.col("s").alias("xs")), F.col("x.d") == F.col("xd")).join(sets.select(F.col("d").alias("yd"), F.col("s").alias("ys")), F.col("y.d") == F.col("yd"))
     close = scored.where(text.jaccard(F.col("xs"), F.col("ys")) >= threshold).groupBy("xd").agg(F.min("y.f").alias("e")).join(rows, F.col("xd") == F.col("d")).select("k", "e")
     first = rows.groupBy("opening").agg(F.min(F.struct("o", "k")).alias("e"))
     same = rows.join(first, "opening").where(F.struct("o", "k") > F.col("e")).select("k", "e")
@@ -103,9 +102,9 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def _needed(m: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
-    """How many elements sets of these sizes must share."""
-    return np.maximum(np.ceil(threshold / (1 + threshold) * (m + n) - 1e-6), 1).astype(np.int64)
+def _needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many elements two sets of these sizes together must share."""
+    return np.maximum(np.ceil(threshold / (1 + threshold) * sizes - 1e-6), 1).astype(np.int32)
 
 
 def _by_shard(df: DataFrame, work: Callable[[Batches], Batches], schema: str) -> DataFrame:
@@ -126,6 +125,21 @@ def _groups(batches: Batches) -> Iterator[tuple[int, list[bytes]]]:
         yield now, held
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers, each in as few bytes as its largest needs."""
+    kinds = [np.min_scalar_type(int(c.max(initial=0))) for c in columns]
+    head = np.array([[len(c), k.itemsize] for c, k in zip(columns, kinds)], "<u4")
+    return np.uint8(len(columns)).tobytes() + head.tobytes() + b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds))
+
+
+def _unpacked(payload: bytes) -> list[np.ndarray]:
+    at, out = 1 + 8 * payload[0], []
+    for size, width in np.frombuffer(payload, "<u4", 2 * payload[0], 1).reshape(-1, 2).tolist():
+        out.append(np.frombuffer(payload, f"<u{width}", size, at))
+        at += size * width
+    return out
+
+
 def _dealt(shard: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     starts = np.flatnonzero(_changes(shard[order]))
@@ -168,7 +182,6 @@ def _candidates(words: DataFrame, count: int, threshold: float, n: int) -> DataF
     width = 1 << int(np.clip(np.ceil(np.log2(32 * max(count, 1))), 12, 24))
     shards = int(np.clip(count // 2000, 12, 8192))
     table = spark.sparkContext.broadcast(_order_table(words, width, n))
-    entry = np.dtype([("g", "<u4"), ("h", "<u4"), ("m", "<u4"), ("at", "<u4")])
 
     def prefixes(batches: Batches) -> Batches:
         code_of = table.value
@@ -183,10 +196,9 @@ def _candidates(words: DataFrame, count: int, threshold: float, n: int) -> DataF
             bounds = np.searchsorted(doc, np.arange(len(batch) + 1))
             m, at = np.diff(bounds)[doc], np.arange(len(doc)) - bounds[doc]
             sent = (place >> np.uint64(56) > 0) & (at <= m - np.ceil(threshold * m - 1e-6) + SHARED - 1)
-            e = np.zeros(int(sent.sum()), entry)
-            e["g"], e["m"], e["at"] = (place[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32), m[sent], at[sent]
-            e["h"] = batch.column(1).to_numpy().view(np.uint32)[doc[sent]]
-            yield _dealt(((place[sent] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32), lambda c: e[c].tobytes())  # noqa: B023
+            g, m, at = (place[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32), m[sent], at[sent]
+            h = batch.column(1).to_numpy().view(np.uint32)[doc[sent]]
+            yield _dealt(((place[sent] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32), lambda c: _packed(g[c], h[c], m[c], at[c]))  # noqa: B023
 
     def sent_on(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.sort(np.concatenate(found))
@@ -194,30 +206,37 @@ def _candidates(words: DataFrame, count: int, threshold: float, n: int) -> DataF
 
         def pack(c: np.ndarray) -> bytes:
             starts = np.flatnonzero(_changes(a[c]))
-            head = np.stack((a[c][starts], np.diff(np.r_[starts, len(c)]).astype(np.uint32)))
-            return np.uint32(len(starts)).tobytes() + head.tobytes() + b[c].tobytes()
+            return _packed(a[c][starts], np.diff(np.r_[starts, len(c)]), b[c])
 
         return _dealt((a % np.uint32(shards)).astype(np.int32), pack)
 
     def meet(batches: Batches) -> Batches:
         found, held = [], 0
         for _, payloads in _groups(batches):
-            e = np.frombuffer(b"".join(payloads), entry)
-            e = e[np.lexsort((e["at"], e["m"], e["h"], e["g"]))]
-            e = e[_changes(e["g"], e["h"], e["m"], e["at"])]
-            ends = np.searchsorted(e["g"], e["g"], "right")
-            sizes = ends - np.arange(len(e)) - 1
+            g, h, m, at = (np.concatenate(x) for x in zip(*map(_unpacked, payloads)))
+            m, at = m.astype(np.int32), at.astype(np.int32)
+            # c at most: the other side's share that leaves this place in the prefix. A place that only smaller sets
+            # reach stands last in its group, since two of them never make a pair.
+            most = m - at + SHARED - 1
+            beyond = most < _needed(2 * m, threshold)
+            order = np.lexsort((at, m, h, beyond, g))
+            g, h, m, at, most, beyond = (x[order] for x in (g, h, m, at, most, beyond))
+            new = _changes(g, h, m, at)
+            g, h, m, most, beyond = (x[new] for x in (g, h, m, most, beyond))
+            sizes = np.where(beyond, 0, np.searchsorted(g, g, "right") - np.arange(len(g)) - 1)
+            needed = _needed(np.arange(2 * int(m.max()) + 1), threshold)
             before, i = np.cumsum(sizes), 0
-            while i < len(e):
+            while i < len(g):
                 j = max(i + 1, int(np.searchsorted(before, (before[i - 1] if i else 0) + PAIR_BLOCK, "right")))
-                one, other = e[np.repeat(np.arange(i, j), sizes[i:j])], e[_ranges(np.arange(i, j) + 1, sizes[i:j])]
+                one, other = np.repeat(np.arange(i, j), sizes[i:j]), _ranges(np.arange(i, j) + 1, sizes[i:j])
                 i = j
-                m, k = one["m"].astype(np.int64), other["m"].astype(np.int64)
-                c = _needed(m, k, threshold)
-                ok = (np.minimum(m, k) >= threshold * np.maximum(m, k) - 1e-6) & (one["at"] <= m - c + SHARED - 1) & (other["at"] <= k - c + SHARED - 1)
+                c = needed[m[one] + m[other]]
+                ok = (c <= most[one]) & (c <= most[other])
+                one, other, c = one[ok], other[ok], c[ok]
+                ok = np.minimum(m[one], m[other]) >= threshold * np.maximum(m[one], m[other]) - 1e-6
                 # Pairs that need share no more than a few count as often as it takes.
                 often = np.maximum(SHARED - c[ok], 0) + 1
-                a, b = one["h"][ok].astype(np.uint64), other["h"][ok].astype(np.uint64)
+                a, b = h[one[ok]].astype(np.uint64), h[other[ok]].astype(np.uint64)
                 found.append(np.repeat(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b), often))
                 held += len(found[-1])
                 if held >= PAIR_BLOCK:
@@ -230,9 +249,8 @@ def _candidates(words: DataFrame, count: int, threshold: float, n: int) -> DataF
         for _, payloads in _groups(batches):
             both = []
             for p in payloads:
-                x = np.frombuffer(p, np.uint32)
-                k = int(x[0])
-                both.append(np.repeat(x[1 : 1 + k], x[1 + k : 1 + 2 * k]).astype(np.uint64) << np.uint64(32) | x[1 + 2 * k :].astype(np.uint64))
+                a, times, b = _unpacked(p)
+                both.append(np.repeat(a, times).astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
             pairs, times = np.unique(np.concatenate(both), return_counts=True)
             pairs = pairs[times >= SHARED]
             yield pa.RecordBatch.from_arrays([pa.array((pairs >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))], ["a", "b"])
